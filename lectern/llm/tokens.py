@@ -1,8 +1,10 @@
 """Tokenizing whole texts by the tokenizers library, with a bounded cache of pieces.
 
 Both vocabularies in use never merge across the cuts made here, so a text's ids are its pieces' ids in a row:
-``words`` cuts at ASCII blanks, for tokenizers that drop white space; ``spaces`` keeps every character and cuts as the
-byte-level split does, white-space runs apart and one blank leading a word.
+``words`` cuts at ASCII blanks, for tokenizers that lower-case and drop white space; ``spaces`` keeps every character
+and cuts as the byte-level split does, one blank leading a word. In both, punctuation without apostrophes that ends a
+word of Latin letters is a piece of its own. Cutting and counting distinct pieces is Arrow's; the library encodes each
+new piece once for a worker process.
 """
 
 from __future__ import annotations
@@ -12,90 +14,127 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # Unicode White_Space
-CUTS = {
-    "words": re.compile("[^\t-\r ]+"),
-    "spaces": re.compile(f" [^{WHITE}]+|[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+"),
-}
-SLICE_CHARS = 2 << 20
+LATIN, TAIL = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?$%&*#|()"
+WORD = f"^(?P<core>[{LATIN}]+)(?P<tail>[{TAIL}]*)$"
+EDGE = f"^[{WHITE}]|[{WHITE}]$|^$"
+SPACES = re.compile(f" [^{WHITE}]+|[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+")
+SLICE_BYTES = 8 << 20
 
 
-class _Pieces(dict):
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = at = len(self)
-        self.new.append(piece)
-        return at
+def _split_words(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Core and tail of each word; '' as the tail of one that isn't Latin letters and punctuation."""
+    found = pc.extract_regex(words, WORD)
+    ok = pc.is_valid(found)
+    none = pa.scalar("", words.type)
+    return pc.if_else(ok, pc.struct_field(found, "core"), words), pc.if_else(ok, pc.struct_field(found, "tail"), none)
 
 
 class Encoder:
     """``encode`` gives the ids of texts; at most ``limit`` pieces or ``chars`` characters stay cached between calls."""
 
-    def __init__(self, path: str, cut: str, limit: int = 300_000, chars: int = 8 << 20):
+    def __init__(self, path: str, cut: str, limit: int = 1_200_000, chars: int = 16 << 20):
         from tokenizers import Tokenizer
 
+        if cut not in ("words", "spaces"):
+            raise ValueError(cut)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cut, self.limit, self.chars = CUTS[cut].findall, limit, chars
+        self.cut, self.limit, self.chars = cut, limit, chars
         self._clear()
 
     def _clear(self):
-        self.pieces, self.held = _Pieces(), 0
+        self.pieces, self.held, self.used = {"": 0}, 0, 0
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = self.known = 0
-
-    def _learn(self):
-        new = self.pieces.new
-        if not new:
-            return
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        need = int(lengths.sum())
-        while self.used + need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.known + len(new) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.flat[self.used : self.used + need] = np.fromiter((i for x in ids for i in x), np.uint32, need)
-        self.lengths[self.known : self.known + len(new)] = lengths
-        self.starts[self.known : self.known + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.held += sum(map(len, new))
-        self.known, self.used = self.known + len(new), self.used + need
-        self.pieces.new = []
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.pieces) > self.limit or self.held > self.chars:
-            self._clear()
-        found, counts = [], []
-        for t in texts:
-            p = self.cut(t)
-            found += p
-            counts.append(len(p))
-        at = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
-        self._learn()
-        lengths = self.lengths[at]
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """Where distinct pieces stand in the store; new ones are encoded."""
+        known = self.pieces
+        new = [p for p in pieces if p not in known]
+        if new:
+            first = len(known)
+            known.update(zip(new, range(first, first + len(new)), strict=True))
+            for lo in range(0, len(new), 10_000):
+                some = new[lo : lo + 10_000]
+                ids = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.array([i for x in ids for i in x], np.uint32)
+                while self.used + len(flat) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+                while first + len(new) > len(self.starts):
+                    self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+                self.flat[self.used : self.used + len(flat)] = flat
+                here = slice(first + lo, first + lo + len(some))
+                self.lengths[here], self.starts[here] = lengths, self.used + np.cumsum(lengths) - lengths
+                self.used += len(flat)
+            self.held += sum(map(len, new))
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _table(self, *columns: pa.Array) -> list[np.ndarray]:
+        """The places of each column's pieces."""
+        every = pa.concat_arrays(columns).dictionary_encode()
+        places = self._places(every.dictionary.to_pylist())[every.indices.to_numpy()]
+        return np.split(places, np.cumsum([len(c) for c in columns])[:-1])
+
+    def _gather(self, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in a row, and their number for each text; counts: pieces a text."""
+        lengths = self.lengths[places]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)]
-        marks = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-        bounds = np.concatenate(([0], ends))[marks]
-        return ids, np.diff(bounds)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids (uint32) of each text, in order."""
-        first = 0
-        while first < len(texts):
-            last, chars = first, 0
-            while last < len(texts) and (last == first or chars + len(texts[last]) <= SLICE_CHARS):
-                chars += len(texts[last])
-                last += 1
-            ids, counts = self._encode(texts[first:last])
+        ids = self.flat[np.repeat(self.starts[places] - (ends - lengths), lengths) + np.arange(total)]
+        return ids, np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))])
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = pc.list_flatten(lists).dictionary_encode()
+        core, tail = self._table(*_split_words(words.dictionary))
+        at = words.indices.to_numpy()
+        return self._gather(np.stack([core[at], tail[at]], 1).ravel(), 2 * pc.list_value_length(lists).to_numpy())
+
+    def _spaces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        words = pc.list_flatten(lists).dictionary_encode()
+        at, size = words.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+        first = np.cumsum(size) - size
+        line = pc.starts_with(words.dictionary, "\n")
+        body = pc.if_else(line, pc.utf8_slice_codeunits(words.dictionary, 1), words.dictionary)
+        odd = pc.match_substring_regex(body, EDGE).to_numpy(zero_copy_only=False)
+        core, tail = _split_words(body)
+        none, blank = pa.scalar("", body.type), pa.scalar(" ", body.type)
+        leads = np.zeros(len(body), bool)
+        leads[at[first]] = True
+        oddly = pa.array(odd)
+        lead, plain, tails, lines = self._table(
+            pc.if_else(oddly, none, pc.if_else(line, core, pc.binary_join_element_wise(blank, core, none))), pc.if_else(pc.and_(pa.array(leads), pc.invert(oddly)), core, none),
+            pc.if_else(oddly, none, tail), pc.if_else(line, pa.scalar("\n", body.type), none),
+        )
+        places = np.stack([lines[at], lead[at], tails[at]], 1)
+        places[first, 1] = plain[at[first]]
+        # white space beyond single blanks and newlines between words: these texts are cut by the pattern
+        rough = np.flatnonzero(np.add.reduceat(odd[at], first)) if len(at) else []
+        if not len(rough):
+            return self._gather(places.ravel(), 3 * size)
+        found = [SPACES.findall(t) for t in texts.take(pa.array(rough)).to_pylist()]
+        own = self._table(*(pa.array(f, pa.large_string()) for f in found))
+        parts = np.split(places.reshape(-1), 3 * first[1:])
+        for k, o in zip(rough, own, strict=True):
+            parts[k] = o
+        return self._gather(np.concatenate(parts), np.array([len(p) for p in parts]))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids (uint32) of each text, in order; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        slot = np.cumsum(pc.binary_length(texts).to_numpy()) // SLICE_BYTES
+        for lo, hi in zip(first := np.flatnonzero(np.diff(slot, prepend=-1)), [*first[1:], len(slot)]):
+            if len(self.pieces) > self.limit or self.held > self.chars:
+                self._clear()
+            ids, counts = (self._words if self.cut == "words" else self._spaces)(texts.slice(lo, hi - lo))
             yield from np.split(ids, np.cumsum(counts)[:-1])
-            first = last
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -118,8 +157,6 @@ def tokenizer_path(name: str) -> str:
 def token_table(docs, id_col: str, text_col: str, path: str, cut: str, end_id: int):
     """(id, ids, n, part, before): each document's ids and the end id, as little-endian 16-bit or 32-bit integers, and
     the ids that its partition holds before it. Rows keep their order; null text is empty."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
     from pyspark import TaskContext
 
     def run(batches):
@@ -127,7 +164,7 @@ def token_table(docs, id_col: str, text_col: str, path: str, cut: str, end_id: i
         wide = enc.tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         for b in batches:
             ids, n, ahead = [], [], []
-            for x in enc.encode(pc.fill_null(b.column(text_col), "").to_pylist()):
+            for x in enc.encode(b.column(text_col)):
                 ids.append(np.append(x, np.uint32(end_id)).astype("<u4" if wide else "<u2").tobytes())
                 n.append(len(x) + 1)
                 ahead.append(before)

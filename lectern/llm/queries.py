@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from ..sources.tables import table
-from . import line_dedup, media, packing, simhash, token_file
+from . import html_text, lang_id, line_dedup, media, mixing, packing, simhash, token_file
 from .tokens import tokenizer_path
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs, trainable=~lang_id.held_out())
+    return model.predict(docs, keep=["doc_id"]).select("doc_id", lang_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", line_dedup.sha256_hex("text").alias("kept_sha256"))
@@ -27,6 +33,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, mixing.default_levels(), mixing.DEFAULT_WEIGHTS, fraction=0.6)
+    return mixed.select("doc_id", "epoch", "domain", "lang", "source", "n_tokens")
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_file.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return token_file.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -42,7 +54,12 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_packing, op4_simhash, op6_token_file, op7_media)}
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract_pages(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_packing, op4_simhash, op5_mixing, op6_token_file, op7_media, op8_html)}
 
 ORACLE_SQL = {
     "op2_line_dedup": """

@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             piece, fps = np.cumsum(size) // SLICE_BYTES, []
             for k in np.unique(piece):
                 where = np.flatnonzero(piece == k)
-                fps.append(_fingerprints(text.slice(where[0], len(where)), words))
+                fps.append(_fingerprints(pa.concat_arrays([text.slice(where[0], len(where))]), words))  # some string kernels misread arrays with an offset
             fp = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(fp)], names=[id_col, out])
 

@@ -133,7 +133,7 @@ class Encoder:
         for lo, hi in zip(first := np.flatnonzero(np.diff(slot, prepend=-1)), [*first[1:], len(slot)]):
             if len(self.pieces) > self.limit or self.held > self.chars:
                 self._clear()
-            ids, counts = (self._words if self.cut == "words" else self._spaces)(texts.slice(lo, hi - lo))
+            ids, counts = (self._words if self.cut == "words" else self._spaces)(pa.concat_arrays([texts.slice(lo, hi - lo)]))  # some string kernels misread arrays with an offset
             yield from np.split(ids, np.cumsum(counts)[:-1])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from ..sources.tables import table
-from . import html_text, lang_id, line_dedup, media, mixing, packing, simhash, token_file
+from . import embed_dedup, html_text, lang_id, line_dedup, media, mixing, packing, simhash, token_file
 from .tokens import tokenizer_path
 
 
@@ -59,7 +59,11 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_packing, op4_simhash, op5_mixing, op6_token_file, op7_media, op8_html)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_packing, op4_simhash, op5_mixing, op6_token_file, op7_media, op8_html, op10_embedding_dedup)}
 
 ORACLE_SQL = {
     "op2_line_dedup": """
@@ -75,4 +79,16 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM flagged GROUP BY doc_id
     """,
+    "op10_embedding_dedup": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.95
+        ), reach(a, b) AS (
+            SELECT vec_id, vec_id FROM vectors UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT r.a AS vec_id, coalesce(max(c.n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
+        FROM reach r LEFT JOIN counts c ON r.a = c.a GROUP BY r.a
+    """,
 }

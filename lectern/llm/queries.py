@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from ..sources.tables import table
-from . import embed_dedup, html_text, lang_id, line_dedup, media, mixing, packing, simhash, token_file
+from . import embed_dedup, html_text, lang_id, line_dedup, media, mixing, packing, quality, simhash, token_file
 from .tokens import tokenizer_path
 
 
@@ -59,11 +59,15 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_packing, op4_simhash, op5_mixing, op6_token_file, op7_media, op8_html, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_packing, op4_simhash, op5_mixing, op6_token_file, op7_media, op8_html, op9_quality, op10_embedding_dedup)}
 
 ORACLE_SQL = {
     "op2_line_dedup": """

@@ -7,22 +7,30 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 
+ROWS_A_TASK = 500_000
+
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node of node's component. ``links``: src, dst (longs, not null); nodes without
     a link aren't named. Each round is written to the shared folder; only two sums of a round reach the driver."""
     edges = durable(links.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "component-links")
-    before = None
+    # no more tasks than the links fill: a round over few links must not write hundreds of files
+    tasks = -(-edges.count() // ROWS_A_TASK) or 1
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return durable(df.coalesce(tasks), name)
+
+    edges, before = edges.coalesce(tasks), None
     for _ in range(max_rounds):
         # large star: link every larger neighbour of a node to the smallest node around
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "component-least")  # so that the join can split a hub
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "component-least")  # so that the join can split a hub
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: link a node and its smaller neighbours to the smallest of them
-        large = durable(large, "component-large")
-        least = durable(large.groupBy("u").agg(F.min("v").alias("m")), "component-least")
+        large = kept(large, "component-large")
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")), "component-least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "component-round")
+        edges = kept(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "component-round")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

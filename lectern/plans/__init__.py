@@ -1,6 +1,6 @@
 """The registered queries: functions and operators applied to the tables."""
 
-from . import text_queries  # noqa: F401
+from . import search_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

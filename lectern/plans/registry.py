@@ -22,6 +22,18 @@ class Tables:
         return table(self.spark, self.sf_dir, name)
 
 
+NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def same(name: str, sql: str):
+    """Register one SQL text that both engines run; tables are named in braces."""
+
+    def run(t: Tables) -> DataFrame:
+        return t.spark.sql(sql, **{n: getattr(t, n) for n in NAMES if "{" + n + "}" in sql})
+
+    query(name, sql.format(**{n: n for n in NAMES}))(run)
+
+
 def query(name: str, sql: str | None = None):
     """Register ``f(tables)`` under ``name``; ``sql`` gives the same rows in DuckDB."""
 

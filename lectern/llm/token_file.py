@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,8 +180,9 @@ def write_token_files(docs: DataFrame, path: str, cut: str = "spaces", end_id: i
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for raw, wide in zip(b.column("ids").to_pylist(), b.column("wide").to_pylist(), strict=True):
-                some = np.bincount(unpack(raw, wide))
+            for wide in set(b.column("wide").to_pylist()):  # one count for all documents of a batch
+                raw = b.column("ids").filter(pc.equal(b.column("wide"), wide)).to_pylist()
+                some = np.bincount(unpack(b"".join(raw), wide))
                 total = np.pad(total, (0, max(0, len(some) - len(total))))
                 total[: len(some)] += some
         at = np.flatnonzero(total)

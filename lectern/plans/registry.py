@@ -25,13 +25,32 @@ class Tables:
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Derived tables that both engines build: name -> (Spark, DuckDB).
+DERIVED = {
+    "lines": (
+        lambda t: t.documents.selectExpr("doc_id", "source", "lang", "posexplode(split(text, '\\n')) AS (pos, line)"),
+        "(SELECT doc_id, source, lang, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)",
+    ),
+    "rects": (
+        lambda t: t.lineitem.selectExpr("l_orderkey AS page", "l_linenumber * 1000000000L + l_partkey * 1000 + l_suppkey AS id", "l_partkey % 600 AS x", "l_suppkey * 7 % 800 AS y", "l_quantity * 4 AS w", "l_linenumber * 40.0D AS h", "l_returnflag AS kind", "l_discount AS score"),
+        "(SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey AS id, l_partkey % 600 AS x, l_suppkey * 7 % 800 AS y, l_quantity * 4 AS w, CAST(l_linenumber * 40 AS DOUBLE) AS h, l_returnflag AS kind, l_discount AS score FROM lineitem)",
+    ),
+    "turns": (
+        lambda t: t.conversations.selectExpr("conv_id", "turn", "role", "text", "row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth"),
+        "(SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations)",
+    ),
+}
+
+
 def same(name: str, sql: str):
-    """Register one SQL text that both engines run; tables are named in braces."""
+    """Register one SQL text that both engines run; tables, base or derived, are named in braces."""
 
     def run(t: Tables) -> DataFrame:
-        return t.spark.sql(sql, **{n: getattr(t, n) for n in NAMES if "{" + n + "}" in sql})
+        used = {n: getattr(t, n) for n in NAMES if "{" + n + "}" in sql}
+        used |= {n: make(t) for n, (make, _) in DERIVED.items() if "{" + n + "}" in sql}
+        return t.spark.sql(sql, **used)
 
-    query(name, sql.format(**{n: n for n in NAMES}))(run)
+    query(name, sql.format(**{n: n for n in NAMES}, **{n: duck for n, (_, duck) in DERIVED.items()}))(run)
 
 
 def query(name: str, sql: str | None = None):

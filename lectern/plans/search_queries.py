@@ -127,7 +127,7 @@ def w05(t: Tables):
 
 # -- similarity -------------------------------------------------------------------------------------------------
 
-TITLE_SETS = "sets AS (SELECT doc_id AS id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 1)) AS terms FROM documents WHERE doc_id % 1 = 0)"
+TITLE_SETS = "sets AS (SELECT doc_id AS id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 1)) AS terms FROM documents)"
 
 
 def title_sets(t: Tables) -> DataFrame:
@@ -221,22 +221,22 @@ def f05(t: Tables):
 
 # -- graphs -----------------------------------------------------------------------------------------------------
 
-SAVED = "saved AS (SELECT doc_id AS source, (doc_id * 7 + 1) % 500 AS target, 'background' AS relation, coalesce(toxic, 0) = 1 AS excluded FROM labels WHERE doc_id < 700)"
-AUTO = "automatic AS (SELECT DISTINCT o_custkey % 500 AS source, (o_orderkey * 7 + 1) % 500 AS target, 'validates' AS relation FROM orders)"
+SAVED = "saved AS (SELECT doc_id AS source, (doc_id * 7 + 1) % 1500 AS target, 'background' AS relation, coalesce(toxic, 0) = 1 AS excluded FROM labels)"
+AUTO = "automatic AS (SELECT DISTINCT o_custkey % 1500 AS source, (o_orderkey * 7 + 1) % 1500 AS target, 'validates' AS relation FROM orders)"
 
 
 def saved_edges(t: Tables) -> DataFrame:
-    return t.labels.where("doc_id < 700").select(F.col("doc_id").alias("source"), ((F.col("doc_id") * 7 + 1) % 500).alias("target"), F.lit("background").alias("relation"), (F.coalesce("toxic", F.lit(0)) == 1).alias("excluded"))
+    return t.labels.select(F.col("doc_id").alias("source"), ((F.col("doc_id") * 7 + 1) % 1500).alias("target"), F.lit("background").alias("relation"), (F.coalesce("toxic", F.lit(0)) == 1).alias("excluded"))
 
 
 def automatic_edges(t: Tables) -> DataFrame:
-    return t.orders.select((F.col("o_custkey") % 500).alias("source"), ((F.col("o_orderkey") * 7 + 1) % 500).alias("target"), F.lit("validates").alias("relation")).distinct()
+    return t.orders.select((F.col("o_custkey") % 1500).alias("source"), ((F.col("o_orderkey") * 7 + 1) % 1500).alias("target"), F.lit("validates").alias("relation")).distinct()
 
 
-@query("k03_graph_edges", f"""WITH {SAVED}, {AUTO}, valid AS (SELECT * FROM saved WHERE source < 500 AND target < 500)
+@query("k03_graph_edges", f"""WITH {SAVED}, {AUTO}, valid AS (SELECT * FROM saved WHERE source IN (SELECT doc_id FROM documents) AND target IN (SELECT doc_id FROM documents))
     SELECT source, target, relation, true AS confirmed FROM valid WHERE NOT excluded UNION ALL SELECT a.source, a.target, a.relation, false FROM automatic a WHERE NOT EXISTS (SELECT 1 FROM valid v WHERE v.source = a.source AND v.target = a.target)""")
 def k03(t: Tables):
-    return graph.graph_edges(saved_edges(t), automatic_edges(t), t.spark.range(500))
+    return graph.graph_edges(saved_edges(t), automatic_edges(t), t.documents.select(F.col("doc_id").alias("id")))
 
 
 @query("j06_auto_minus_saved", f"WITH {SAVED}, {AUTO} SELECT a.source, a.target FROM automatic a WHERE NOT EXISTS (SELECT 1 FROM saved v WHERE v.source = a.source AND v.target = a.target)")
@@ -244,9 +244,9 @@ def j06(t: Tables):
     return automatic_edges(t).join(saved_edges(t).select("source", "target"), ["source", "target"], "left_anti").select("source", "target")
 
 
-@query("j07_valid_edges", f"WITH {SAVED} SELECT source, target FROM saved WHERE source IN (SELECT doc_id FROM documents WHERE doc_id < 500) AND target IN (SELECT doc_id FROM documents)")
+@query("j07_valid_edges", f"WITH {SAVED} SELECT source, target FROM saved WHERE source IN (SELECT doc_id FROM documents) AND target IN (SELECT doc_id FROM documents)")
 def j07(t: Tables):
-    ids = t.documents.where("doc_id < 500").select(F.col("doc_id").alias("source"))
+    ids = t.documents.select(F.col("doc_id").alias("source"))
     return saved_edges(t).join(ids, "source", "left_semi").join(t.documents.select(F.col("doc_id").alias("target")), "target", "left_semi").select("source", "target")
 
 
@@ -291,10 +291,11 @@ def k02(t: Tables):
     return graph.page_rank(nodes, graph.ranked_edges_v1(edges, AS_OF), iterations=10, tolerance=0, rescale=True).withColumn("rank", F.round("rank", 9))
 
 
-@query("u08_closure", """WITH RECURSIVE g AS (SELECT DISTINCT o_custkey % 90 AS grp, o_orderkey % 200 AS member FROM orders WHERE o_orderkey % 40 = 0), reach(member) AS (
+@query("u08_closure", """WITH RECURSIVE g AS (SELECT o_orderkey % 200 // 8 AS grp, o_orderkey % 200 AS member FROM orders UNION SELECT 1000 + o_orderkey % 200 // 12, o_orderkey % 200 FROM orders), reach(member) AS (
     SELECT 0::BIGINT UNION SELECT b.member FROM reach r JOIN g a ON a.member = r.member JOIN g b ON b.grp = a.grp) SELECT member FROM reach""")
 def u08(t: Tables):
-    groups = t.orders.where("o_orderkey % 40 = 0").select((F.col("o_custkey") % 90).alias("grp"), (F.col("o_orderkey") % 200).alias("member")).distinct()
+    member = F.col("o_orderkey") % 200
+    groups = t.orders.select(F.floor(member / 8).alias("grp"), member.alias("member")).union(t.orders.select(1000 + F.floor(member / 12), member)).distinct()
     return graph.closure(t.spark.range(1).withColumnRenamed("id", "member"), groups)
 
 
@@ -305,10 +306,11 @@ def k05(t: Tables):
     return graph.in_cycles(edges).agg((F.count(F.lit(1)) > 0).alias("cyclic"))
 
 
-@query("k06_chains", """WITH RECURSIVE l AS (SELECT n_nationkey AS source, n_nationkey + 5 AS target FROM nation WHERE n_nationkey % 7 <> 3 AND n_nationkey < 20), c(head, node, pos) AS (
+@query("k06_chains", """WITH RECURSIVE l AS (SELECT n_nationkey AS source, n_nationkey + 5 AS target FROM nation WHERE n_nationkey + 5 IN (SELECT n_nationkey FROM nation)), c(head, node, pos) AS (
     SELECT source, source, 0 FROM l WHERE source NOT IN (SELECT target FROM l) UNION ALL SELECT c.head, l.target, c.pos + 1 FROM c JOIN l ON l.source = c.node) SELECT head, node, pos FROM c""")
 def k06(t: Tables):
-    links = t.nation.where("n_nationkey % 7 <> 3 AND n_nationkey < 20").select(F.col("n_nationkey").alias("source"), (F.col("n_nationkey") + 5).alias("target"))
+    ends = t.nation.select((F.col("n_nationkey") - 5).alias("n_nationkey"))
+    links = t.nation.join(ends, "n_nationkey", "left_semi").select(F.col("n_nationkey").alias("source"), (F.col("n_nationkey") + 5).alias("target"))
     return graph.chains(links)
 
 

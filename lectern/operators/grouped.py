@@ -8,7 +8,7 @@ to the groups of a table, which are read in order of the given columns.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,18 +17,38 @@ TINY = 1e-9
 
 
 def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
-    """Rows (without the keys) that ``work`` makes of each group sorted by ``order``; the keys come first."""
+    """Rows (without the keys) that ``work`` makes of each group sorted by ``order``; the keys come first.
+
+    Groups are dealt by key and sorted by Spark (which spills), then streamed: many small groups share a batch, and only
+    one group at a time is held beyond a batch."""
     fields = [f.strip().split(" ")[0] for f in schema.split(",")]
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        out = pd.DataFrame(work(pdf), columns=fields)
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
-
-    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
+    keys = list(keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+
+        def made(groups: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = []
+            for g in groups:
+                head = tuple(g[k].iloc[0] for k in keys)
+                rows += [(*head, *r) for r in work(g)]
+            return pd.DataFrame(rows, columns=[*keys, *fields])
+
+        for pdf in frames:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            same = pdf[keys].eq(pdf[keys].shift()) | (pdf[keys].isna() & pdf[keys].shift().isna())
+            starts = (~same.all(axis=1)).to_numpy().nonzero()[0].tolist()
+            starts = starts if starts and starts[0] == 0 else [0, *starts]
+            yield made([pdf.iloc[a:b] for a, b in zip(starts, starts[1:])])
+            held = pdf.iloc[starts[-1] :]
+        if held is not None and len(held):
+            yield made([held])
+
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInPandas(run, f"{kinds}, {schema}")
 
 
 # -- alignment ------------------------------------------------------------------------------------------------------

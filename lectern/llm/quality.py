@@ -240,7 +240,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, holdou
     ``quantile`` of these documents' perplexities, for a language without any that of all languages' (infinite if there
     is none). A document is kept if its perplexity is at most its language's threshold. A null language is the language
     ''; a null id has no label; repeated rows are documents of their own; an empty table gives no row."""
-    ids = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("__id")).distinct()
+    # labels grow with the documents: the join is by shuffle at every size
+    ids = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("__id")).distinct().hint("merge")
     out = F.crc32(F.col(id_col).cast("string").cast("binary")) % holdout == 0
     trusted = docs.select(id_col, text_col).where(~out).join(ids, F.col(id_col) == F.col("__id"), "left_semi")
     model = train(trusted, text_col)

@@ -83,6 +83,25 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM flagged GROUP BY doc_id
     """,
+    "op5_mixing": """
+        WITH docs AS (
+            SELECT doc_id, 'd' || (CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4) AS d, coalesce(lang, '') AS l, coalesce(source, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents
+        ), leaf AS (
+            SELECT d, l, s, sum(n) AS n, 2.0::DOUBLE * sum(n) AS cap, CASE d WHEN 'd0' THEN 0.4 WHEN 'd1' THEN 0.3 WHEN 'd2' THEN 0.2 ELSE 0.1 END::DOUBLE AS w1, CASE l WHEN 'en' THEN 0.4 ELSE 0.2 END::DOUBLE AS w2, 1.0::DOUBLE AS w3 FROM docs GROUP BY d, l, s
+        ), level1 AS (
+            SELECT d, least(cap, w * coalesce(arg_min(lam, cap / w) FILTER (WHERE cap / w > lam) OVER (), 1e300)) AS amount FROM (
+                SELECT *, ((SELECT 0.6 * sum(n) FROM leaf) - coalesce(sum(cap) OVER (ORDER BY cap / w, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM (SELECT d, sum(cap) AS cap, any_value(w1) AS w FROM leaf GROUP BY d) b) c),
+        level2 AS (
+            SELECT d, l, least(cap, w * coalesce(arg_min(lam, cap / w) FILTER (WHERE cap / w > lam) OVER (PARTITION BY d ), 1e300)) AS amount FROM (
+                SELECT *, (up - coalesce(sum(cap) OVER (PARTITION BY d ORDER BY cap / w, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY d ORDER BY cap / w, l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM (SELECT x.d, x.l, x.cap, x.w, u.amount AS up FROM (SELECT d, l, sum(cap) AS cap, any_value(w2) AS w FROM leaf GROUP BY d, l) x JOIN level1 u ON x.d = u.d) b) c),
+        level3 AS (
+            SELECT d, l, s, least(cap, w * coalesce(arg_min(lam, cap / w) FILTER (WHERE cap / w > lam) OVER (PARTITION BY d, l ), 1e300)) AS amount FROM (
+                SELECT *, (up - coalesce(sum(cap) OVER (PARTITION BY d, l ORDER BY cap / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY d, l ORDER BY cap / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM (SELECT x.d, x.l, x.s, x.cap, x.w, u.amount AS up FROM (SELECT d, l, s, sum(cap) AS cap, any_value(w3) AS w FROM leaf GROUP BY d, l, s) x JOIN level2 u ON x.d = u.d AND x.l = u.l) b) c),
+        plan AS (SELECT d, l, s, b // n AS whole, b % n AS rest FROM (SELECT d, l, s, CAST(n AS BIGINT) AS n, least(CAST(floor(amount + 1e-6) AS BIGINT), CAST(2 * n AS BIGINT)) AS b FROM leaf JOIN level3 USING (d, l, s)) q),
+        prefix AS (SELECT docs.*, whole, rest, sum(docs.n) OVER (PARTITION BY d, l, s ORDER BY md5('42|' || whole || '|' || doc_id) ROWS UNBOUNDED PRECEDING) AS run FROM docs JOIN plan USING (d, l, s))
+        SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, d AS domain, l AS lang, s AS source, CAST(n AS BIGINT) AS n_tokens FROM (
+            SELECT doc_id, d, l, s, n, unnest(range(whole)) AS epoch FROM prefix UNION ALL SELECT doc_id, d, l, s, n, whole FROM prefix WHERE rest > 0 AND run <= rest) r
+    """,
     "op10_embedding_dedup": """
         WITH RECURSIVE vectors AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings

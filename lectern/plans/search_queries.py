@@ -172,16 +172,10 @@ RELATED = f"""WITH {VECTORS}, few AS (SELECT * FROM vectors WHERE term IN (SELEC
     pairs AS (SELECT x.id AS a, y.id AS b, sum(x.weight * y.weight) / (any_value(n.norm) * any_value(m.norm)) AS weight FROM few x JOIN few y ON x.term = y.term AND x.id < y.id JOIN norms n ON n.id = x.id JOIN norms m ON m.id = y.id GROUP BY x.id, y.id)"""
 
 
-def rare_vectors(t: Tables) -> DataFrame:
-    rows = vectors(t)
-    rare = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df <= 20").select("term")
-    return rows.join(rare, "term", "left_semi")
-
-
 @query("j05_cosine_pairs", RELATED + " SELECT a, b, round(weight, 6) AS weight FROM pairs WHERE weight >= 0.08")
 def j05(t: Tables):
-    """Cosine over terms that at most 20 documents have."""
-    return similarity.cosine_pairs(rare_vectors(t), 0.08).withColumn("weight", F.round("weight", 6))
+    """Cosine over all terms."""
+    return similarity.cosine_pairs(vectors(t), 0.08).withColumn("weight", F.round("weight", 6))
 
 
 TOP3 = RELATED + """, ends AS (SELECT a, b, round(weight, 9) AS weight, a AS node, b AS other FROM pairs WHERE weight >= 0.08 UNION ALL SELECT a, b, round(weight, 9), b, a FROM pairs WHERE weight >= 0.08)
@@ -190,14 +184,14 @@ TOP3 = RELATED + """, ends AS (SELECT a, b, round(weight, 9) AS weight, a AS nod
 
 @query("w02_top3_neighbours", TOP3)
 def w02(t: Tables):
-    pairs = similarity.cosine_pairs(rare_vectors(t), 0.08).withColumn("weight", F.round("weight", 9))
+    pairs = similarity.cosine_pairs(vectors(t), 0.08).withColumn("weight", F.round("weight", 9))
     return similarity.top_neighbours(pairs).select("a", "b")
 
 
 @query("k17_relatedness", TOP3)
 def k17(t: Tables):
     """The relatedness graph: cosine pairs cut to the heaviest three of either end."""
-    pairs = similarity.cosine_pairs(rare_vectors(t), 0.08).withColumn("weight", F.round("weight", 9))
+    pairs = similarity.cosine_pairs(vectors(t), 0.08).withColumn("weight", F.round("weight", 9))
     return similarity.top_neighbours(pairs).select("a", "b")
 
 

@@ -310,12 +310,12 @@ def k06(t: Tables):
 
 @query("l03_mmr_v1")
 def l03(t: Tables):
-    """15 diverse documents of the 50 that match best, by domain and terms."""
+    """15 diverse documents of all that match, by domain and terms."""
     hits = search.bm25(papers(t), QUERY).join(papers(t).select("doc_id", "tags", "title"), "doc_id")
     top = F.broadcast(hits.agg(F.max("bm25").alias("top")))
     terms = F.array_union(F.transform("tags", lambda x: F.concat(F.lit("d:"), x)), F.transform(T.title_tokens(F.col("title")), lambda x: F.concat(F.lit("t:"), x)))
     rows = hits.crossJoin(top).select(F.col("doc_id").alias("id"), (F.col("bm25") / F.col("top")).alias("score"), terms.alias("terms"))
-    return search.mmr(rows, 15, 1 - 0.72, 0.72, limit=50)
+    return search.mmr(rows, 15, 1 - 0.72, 0.72)
 
 
 @query("l02_mmr_v3")

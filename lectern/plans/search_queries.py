@@ -199,7 +199,7 @@ def k17(t: Tables):
     SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.terms, b.terms)) / len(list_distinct(a.terms || b.terms)), 6) AS score FROM s a JOIN s b ON a.id < b.id WHERE len(list_intersect(a.terms, b.terms)) / len(list_distinct(a.terms || b.terms)) > 0.5""")
 def j04(t: Tables):
     terms = F.array_distinct(T.tokens(F.concat_ws(" ", F.split("text", "\n")[0], "lang", "source")))
-    return similarity.jaccard_pairs(t.documents.select(F.col("doc_id").alias("id"), terms.alias("terms")), 0.5).withColumn("score", F.round("score", 6))
+    return similarity.jaccard_pairs(t.documents.select(F.col("doc_id").alias("id"), terms.alias("terms")), 0.2).withColumn("score", F.round("score", 6))
 
 
 @query("j03_containment_edges", "SELECT b.item_id AS needle, d.doc_id AS doc, instr(d.text, b.text) AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)")

@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,7 +157,9 @@ def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(bits, pa.binary()), pa.array(letters)], names=["h", "y", "bits", "ok"])
 
     packed = picked.select("h", "y", "t").mapInArrow(pack, "h long, y string, bits binary, ok boolean").where("ok")
-    sample = packed.orderBy(F.pmod("h", F.lit(1 << 40)), "h", "y", "bits").limit(2 * max_rows).collect()  # 7.6 kB a row
+    # the smallest hashes of each label: the picked rows of a label are few, whatever it has in all
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.pmod("h", F.lit(1 << 40)), "h", "bits"))
+    sample = packed.withColumn("rank", rank).where(F.col("rank") <= each).collect()  # 7.6 kB a row
     sample.sort(key=lambda r: (r.h % (1 << 40), r.h, r.y, r.bits))
     kept, have = [], {}
     for r in sample:

@@ -83,7 +83,7 @@ def k25(t: Tables):
     def work(pdf):
         words = list(pdf.words.iloc[0])
         needle = [*words[9:14], "changed", *words[15:20]]
-        found = G.approximate_range(words[:400], needle)
+        found = G.approximate_range(words, needle)
         return [found] if found else []
 
     return G.per_group(rows, ["doc_id"], ["doc_id"], work, "first long, end long, confidence double")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import durable
+from .workers import tidy
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -269,7 +270,7 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
                     votes.append(round(v * 1_000_000))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())], names=["__host", "path", "votes"])
 
-    votes = pages.select(host.alias("__host"), html_col).mapInArrow(vote, "__host string, path string, votes long")
+    votes = pages.select(host.alias("__host"), html_col).mapInArrow(tidy(vote), "__host string, path string, votes long")
     totals = votes.groupBy("__host", "path").agg(F.sum("votes").alias("votes"))
     winners = durable(totals.groupBy("__host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path")).alias("w")).select("__host", F.col("w.path").alias("__path")), "host-paths")
 
@@ -280,4 +281,4 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
     # the planner broadcasts the winners where their written size is under its limit, or else joins by host and splits a hot one
     joined = pages.select(*keep, F.col(html_col).alias("__html"), host.alias("__host")).join(winners, "__host", "left").drop("__host")
-    return joined.mapInArrow(cut, T.StructType([pages.schema[c] for c in keep] + [T.StructField(out, T.StringType())]))
+    return joined.mapInArrow(tidy(cut), T.StructType([pages.schema[c] for c in keep] + [T.StructField(out, T.StringType())]))

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workers import tidy
+
 OTHERS = 12
 S = 27 + OTHERS
 SPECTRUM = S**3 + S**2 + S
@@ -104,7 +106,7 @@ class LanguageModel:
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
         schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-        return docs.select(*keep, *([text_col] if own else [])).mapInArrow(run, schema)
+        return docs.select(*keep, *([text_col] if own else [])).mapInArrow(tidy(run), schema)
 
 
 def _solve(bits: np.ndarray, target: np.ndarray, labels: int, landmarks: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +136,10 @@ def _solve(bits: np.ndarray, target: np.ndarray, labels: int, landmarks: int, ri
 
 def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 300, max_rows: int = 2400, landmarks: int = 256, ridge: float = 1e-4, max_labels: int = 1000) -> LanguageModel:
     """Learn from the rows with a label and text where ``trainable`` holds: a sample of at most ``per_label`` a label,
-    ``max_rows`` in all. Without such a row the model has no labels. More than ``max_labels`` labels raise."""
+    ``max_rows`` in all, but two a label at least. Without such a row the model has no labels (it predicts ``und``), as
+    from an empty table. More than ``max_labels`` labels raise ValueError: the weights and the sample, both a share a
+    label, are held by the driver. Null labels and texts, and texts without a letter, teach nothing; repeated rows and
+    null ids count like others; other columns aren't read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("y"), F.xxhash64(F.col(id_col)).alias("h"), (F.lit(True) if trainable is None else trainable).alias("ok"))
     rows = rows.where("ok and y is not null")
     counts = rows.groupBy("y").count().limit(max_labels + 1).collect()
@@ -156,7 +161,7 @@ def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id"
                 letters += ok.tolist()
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(bits, pa.binary()), pa.array(letters)], names=["h", "y", "bits", "ok"])
 
-    packed = picked.select("h", "y", "t").mapInArrow(pack, "h long, y string, bits binary, ok boolean").where("ok")
+    packed = picked.select("h", "y", "t").mapInArrow(tidy(pack), "h long, y string, bits binary, ok boolean").where("ok")
     # the smallest hashes of each label: the picked rows of a label are few, whatever it has in all
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.pmod("h", F.lit(1 << 40)), "h", "bits"))
     sample = packed.withColumn("rank", rank).where(F.col("rank") <= each).collect()  # 7.6 kB a row

@@ -11,6 +11,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .workers import tidy
+
+
+BAND = 1 << 14  # rows summed at once
+
 
 def write_pgm(pixels: np.ndarray) -> bytes:
     h, w = pixels.shape
@@ -93,18 +98,29 @@ def read_image(raw: bytes) -> np.ndarray:
 
 
 def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell (cells may cut pixels), from the integral image; float64."""
+    """Mean over each target cell (cells may cut pixels), from the integral image; float64. Beside the picture it holds
+    some target height x width numbers, however high the picture."""
     h, w = image.shape[:2]
-    total = np.zeros((h + 1, w + 1, image.shape[2]))
-    total[1:, 1:] = image.cumsum(0, dtype=np.float64).cumsum(1)
 
-    def along(a: np.ndarray, n: int, m: int) -> np.ndarray:
+    def cuts(n: int, m: int, rank: int) -> tuple[np.ndarray, np.ndarray]:
         x = np.arange(m + 1) * (n / m)
         lo = np.minimum(x.astype(np.int64), n - 1)
-        part = (x - lo).reshape((-1,) + (1,) * (a.ndim - 1))
-        return a[lo] * (1 - part) + a[lo + 1] * part
-
-    corner = along(along(total, h, height).swapaxes(0, 1), w, width).swapaxes(0, 1)
+        return lo, (x - lo).reshape((-1,) + (1,) * (rank - 1))
+
+    # Rows of the integral image are only needed at the cells' edges: it is summed up in bands, never held whole.
+    lo, part = cuts(h, height, 3)
+    at = np.unique(np.concatenate([lo, lo + 1]))
+    rows, above, first = np.zeros((len(at), w + 1, image.shape[2])), np.zeros((w, image.shape[2])), 0
+    for k, end in enumerate(at):
+        while first < end:
+            last = min(first + BAND, end)
+            above = above + image[first:last].sum(0, dtype=np.float64)
+            first = last
+        rows[k, 1:] = above.cumsum(0)
+    low, high = rows[np.searchsorted(at, lo)], rows[np.searchsorted(at, lo + 1)]
+    edges = (low * (1 - part) + high * part).swapaxes(0, 1)
+    lo, part = cuts(w, width, 3)
+    corner = (edges[lo] * (1 - part) + edges[lo + 1] * part).swapaxes(0, 1)
     cells = corner[1:, 1:] - corner[:-1, 1:] - corner[1:, :-1] + corner[:-1, :-1]
     return cells / (h / height * (w / width))
 
@@ -123,7 +139,9 @@ def npy(image: np.ndarray) -> bytes:
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64) -> DataFrame:
     """Texts as pictures: (id, n_bytes, media). The UTF-8 bytes, zero-padded to a positive multiple of ``width``, are the
-    grey samples of a picture ``width`` wide: PGM where the number of rows is even, BMP where it is odd. Null: empty."""
+    grey samples of a picture ``width`` wide: PGM where the number of rows is even, BMP where it is odd. Null: empty.
+    A null id stays; repeated rows are pictures of their own; an empty table gives no row; other columns aren't read,
+    whatever their names. A picture is held whole in memory, as its text is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,12 +152,13 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sizes.append(len(raw))
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def decode_media(df: DataFrame, media_col: str = "media", tile: int = 32) -> DataFrame:
     """``df`` with height, width, channels, pixels (row by row, channels last), tile (the picture area-resized to tile x
-    tile, 8 bits, as NPY bytes), dhash and error. Bytes that are null or aren't read leave all but error null."""
+    tile, 8 bits, as NPY bytes), dhash and error. Bytes that are null or aren't read leave all but error null. Columns of these
+    names are replaced, others pass through; repeated rows stay; an empty table gives no row."""
     made = {"height": pa.int32(), "width": pa.int32(), "channels": pa.int32(), "pixels": pa.binary(), "tile": pa.binary(), "dhash": pa.string(), "error": pa.string()}
     df = df.drop(*made)
 
@@ -157,4 +176,4 @@ def decode_media(df: DataFrame, media_col: str = "media", tile: int = 32) -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, t) for x, t in zip(cols, made.values(), strict=True))], names=[*b.schema.names, *made])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "height int, width int, channels int, pixels binary, tile binary, dhash string, error string"])
-    return df.mapInArrow(run, fields)
+    return df.mapInArrow(tidy(run), fields)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .tokens import part_bases, token_table, unpack
+from .workers import tidy
 
 
 def pack(docs: DataFrame, path: str, cut: str = "words", end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,7 +25,8 @@ def pack(docs: DataFrame, path: str, cut: str = "words", end_id: int = 1, length
 
     A document is its ids and ``end_id``; null or empty text is ``end_id`` alone. Documents follow each other in the
     table's order; a sequence is ``length`` ids, the last one what is left (``padded_to``: its length if that is a power
-    of two, else ``length``). Rows with the same or a null id are documents of their own. An empty table has no piece.
+    of two, else ``length``). Rows with the same or a null id are documents of their own. An empty table has no piece. Of the table
+    only these two columns are read: others may have any names, those of the result too.
     """
     spark = docs.sparkSession
     tokens = durable(token_table(docs, id_col, text_col, path, cut, end_id), "pack-ids")
@@ -55,7 +57,7 @@ def pack(docs: DataFrame, path: str, cut: str = "words", end_id: int = 1, length
                 names=[id_col, "start", "ids", "doc_tokens", "sequence_id", "offset", "padded_to"],
             )
 
-    return tokens.mapInArrow(run, f"`{id_col}` {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long")
+    return tokens.mapInArrow(tidy(run), f"`{id_col}` {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

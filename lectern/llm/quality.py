@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .hashing import mix
+from .workers import tidy
 
 N, WIDTH, PLAIN = 5, 12, 3072
 START, END = 0, 1

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .components import components
+from .workers import tidy
 
 SLICE_BYTES = 1 << 20
 
@@ -74,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(fp)], names=[id_col, out])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{out}` long")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{out}` long")
 
 
 def close_pairs(fps: DataFrame, distance: int = 2, blocks: int = 5, group: int = 48) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable, shared_dir
 from .tokens import part_bases, token_table, unpack
+from .workers import tidy
 
 MAGIC = b"LRNS0001"
 BITS, LANES, STEPS, AT_ONCE = 20, 32, 512, 64
@@ -170,7 +171,7 @@ def write_token_files(docs: DataFrame, path: str, cut: str = "spaces", end_id: i
     Documents are range-partitioned by id and tokenized once; a run of documents of some ``file_ids`` ids becomes a file
     named by its place, written under another name first, so a repeated task leaves one whole file. Frequencies are
     counted over all ids. Null text is empty; repeated ids and rows are documents of their own; an empty table gives an
-    empty folder. The folder must be one that pyarrow can write from every executor, as the default, the shared one."""
+    empty folder; other columns aren't read, whatever their names. The folder must be one that pyarrow can write from every executor, as the default, the shared one."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/lectern/token-files-{uuid.uuid4().hex}"
     tie = F.xxhash64(text_col)
@@ -188,7 +189,7 @@ def write_token_files(docs: DataFrame, path: str, cut: str = "spaces", end_id: i
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["symbol", "n"])
 
-    counts = table.select("ids", "wide").mapInArrow(histogram, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
+    counts = table.select("ids", "wide").mapInArrow(tidy(histogram), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
     counts = np.array(sorted((r.symbol, r.n) for r in counts), np.int64).reshape(-1, 2)
     shared = spark.sparkContext.broadcast((part_bases(table), counts[:, 0], frequency_table(counts[:, 0], counts[:, 1]) if len(counts) else np.zeros(0, np.uint32)))
 
@@ -220,7 +221,7 @@ def write_token_files(docs: DataFrame, path: str, cut: str = "spaces", end_id: i
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([flush()], pa.string())], names=["file"])
 
-    table.mapInArrow(files, "file string").agg(F.count("file")).first()
+    table.mapInArrow(tidy(files), "file string").agg(F.count("file")).first()
     return folder
 
 
@@ -242,4 +243,4 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -
                     yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids[some], pa.int64()), pa.array(f.first + ends[some] - f.lengths[some]), pa.array(f.lengths[some].astype(np.int64)), pa.array(out, pa.binary())], names=[id_col, "start", "n_tokens", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(folder)
-    return files.select("content").mapInArrow(run, fields)
+    return files.select("content").mapInArrow(tidy(run), fields)

@@ -24,7 +24,7 @@ LATIN, TAIL = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?$%&*#|()"
 WORD = f"^(?P<core>[{LATIN}]+)(?P<tail>[{TAIL}]*)$"
 EDGE = f"^[{WHITE}]|[{WHITE}]$|^$"
 SPACES = re.compile(f" [^{WHITE}]+|[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+")
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _split_words(words: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -36,15 +36,20 @@ def _split_words(words: pa.Array) -> tuple[pa.Array, pa.Array]:
 
 
 class Encoder:
-    """``encode`` gives the ids of texts; at most ``limit`` pieces or ``chars`` characters stay cached between calls."""
+    """``encode`` gives the ids of texts; at most ``limit`` pieces or ``chars`` characters stay cached between calls.
 
-    def __init__(self, path: str, cut: str, limit: int = 1_200_000, chars: int = 16 << 20):
+    A text that holds the string of an added token (``<|endoftext|>``) goes to the library whole, which gives that
+    token's id; all others are cut."""
+
+    def __init__(self, path: str, cut: str, limit: int = 400_000, chars: int = 6 << 20):
         from tokenizers import Tokenizer
 
         if cut not in ("words", "spaces"):
             raise ValueError(cut)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # those that stand for themselves in a raw text; others are looked for in a normalised one, so in any case
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [(t.content, t.normalized) for t in added]
         self.cut, self.limit, self.chars = cut, limit, chars
         self._clear()
 
@@ -129,6 +134,18 @@ class Encoder:
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids (uint32) of each text, in order; null is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = np.zeros(len(texts), bool)
+        for content, folded in self.added:
+            whole |= pc.match_substring(texts, content, ignore_case=folded).to_numpy(zero_copy_only=False)
+        if whole.any():
+            own = iter(texts.filter(pa.array(whole)).to_pylist())
+            texts = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts)
+            for ids, special in zip(self._cut_texts(texts), whole, strict=True):
+                yield np.array(self.tokenizer.encode(next(own), add_special_tokens=False).ids, np.uint32) if special else ids
+        else:
+            yield from self._cut_texts(texts)
+
+    def _cut_texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         slot = np.cumsum(pc.binary_length(texts).to_numpy()) // SLICE_BYTES
         for lo, hi in zip(first := np.flatnonzero(np.diff(slot, prepend=-1)), [*first[1:], len(slot)]):
             if len(self.pieces) > self.limit or self.held > self.chars:
@@ -156,9 +173,12 @@ def tokenizer_path(name: str) -> str:
 
 def token_table(docs, id_col: str, text_col: str, path: str, cut: str, end_id: int):
     """(id, ids, n, part, before): each document's ids and the end id, as little-endian 16-bit or 32-bit integers, and
-    the ids that its partition holds before it. Rows keep their order; null text is empty."""
+    the ids that its partition holds before it. Rows keep their order; null text is empty. Only the two
+    columns are read, whatever others are called; an empty table gives no row."""
     from pyspark import TaskContext
 
+    from .workers import tidy
+
     def run(batches):
         enc, part, before = encoder(path, cut), TaskContext.get().partitionId(), 0
         wide = enc.tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
@@ -172,7 +192,7 @@ def token_table(docs, id_col: str, text_col: str, path: str, cut: str, end_id: i
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(ahead, pa.int64()), pa.array([wide] * len(n), pa.bool_())], names=[id_col, "ids", "n", "part", "before", "wide"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n long, part int, before long, wide boolean")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids binary, n long, part int, before long, wide boolean")
 
 
 def unpack(raw: bytes, wide: bool) -> np.ndarray:

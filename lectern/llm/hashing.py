@@ -25,7 +25,7 @@ class PerfectHash:
     ``words`` holds all levels' bits in 64-bit words, ``ranks`` the set bits before each word. About 3.5 bits a key.
     """
 
-    GAMMA = 1.6
+    GAMMA, LEVELS = 1.6, 256  # a level leaves under half of its keys, so distinct ones are done within some 70
 
     def __init__(self, sizes: np.ndarray, words: np.ndarray):
         self.sizes, self.words = sizes, words
@@ -34,9 +34,11 @@ class PerfectHash:
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        """``keys``: distinct uint64."""
+        """``keys``: distinct uint64; repeated ones, which no level could tell apart, raise."""
         left, sizes, parts = keys, [], []
         while len(left):
+            if len(sizes) == cls.LEVELS:
+                raise ValueError(f"{len(left)} of {len(keys)} keys are not told apart in {cls.LEVELS} levels: are some the same?")
             size = max(64, -(-int(len(left) * cls.GAMMA) // 64) * 64)
             slot = (mix(left, len(sizes)) % U64(size)).astype(np.int64)
             alone = np.bincount(slot, minlength=size) == 1

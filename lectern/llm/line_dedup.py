@@ -1,7 +1,7 @@
 """Line dedup: a sharded minimal perfect hash over frequent line keys; documents probe its arrays.
 
-Pass 1 turns each document into the 128-bit hashes of its distinct keys and counts them with one partially aggregated
-shuffle (a hot line is one row per task). Keys below ``min_docs`` go. Pass 2 builds, per shard of keys, a minimal
+Pass 1 turns each document into the 128-bit hashes of its distinct keys and counts their documents: rows of a key and
+an id meet first, spread by both, then the keys' partial counts (a hot line is one row a task). Keys below ``min_docs`` go. Pass 2 builds, per shard of keys, a minimal
 perfect hash that indexes fingerprint, count and keeper arrays. Pass 3 streams the documents past the arrays: they are
 broadcast in rounds of at most ``round_bytes`` (one round up to about 3 million frequent lines), each round dropping
 the lines of its shards, so memory is bounded at every size and no line is joined.
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import durable
-from .hashing import PerfectHash
+from .hashing import PerfectHash, mix
+from .workers import tidy
 
 BLANKS = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 16
@@ -53,21 +54,26 @@ def _count(id_col: str, text_col: str, min_chars: int):
                 continue
             seen = np.unique(np.rec.fromarrays([rows[long], h1, h2], names="r,a,b"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(seen.a.view(np.int64)), pa.array(seen.b.view(np.int64)), b.column(id_col).cast(pa.int64()).take(pa.array(seen.r))], names=["h1", "h2", "id"]
+                [pa.array(seen.a.view(np.int64)), pa.array(seen.b.view(np.int64)), pc.fill_null(b.column(id_col).cast(pa.int64()), NO_ID).take(pa.array(seen.r))], names=["h1", "h2", "id"]
             )
 
     return run
 
 
+def _slot_keys(h1: np.ndarray, h2: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits of both hashes, others for each seed."""
+    return h1 ^ mix(h2, seed)
+
+
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    key = pdf.h1.to_numpy().view(np.uint64)
-    # two keys may share h1: they are told apart by h2, and the hash is built on a mixture of both
-    key = key ^ (pdf.h2.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h1, h2 = (pdf[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
+    # keys differ in h1 or h2; the mixture of two may be the same under one seed, so the first that tells all apart is taken
+    seed, key = next((s, k) for s in range(64) if len(np.unique(k := _slot_keys(h1, h2, s))) == len(k))
     phf = PerfectHash.build(key)
     at = np.empty(len(key), np.int64)
     at[phf.index(key)] = np.arange(len(key))
     cols = {"fingerprints": pdf.h2.to_numpy(), "counts": np.minimum(pdf.n.to_numpy(), 2**32 - 1).astype(np.uint32), "keepers": pdf["keep"].to_numpy()}
-    return pd.DataFrame([{"shard": int(pdf.shard.iloc[0]), "sizes": phf.sizes.tobytes(), "words": phf.words.tobytes()} | {k: v[at].tobytes() for k, v in cols.items()}])
+    return pd.DataFrame([{"shard": int(pdf.shard.iloc[0]), "seed": seed, "sizes": phf.sizes.tobytes(), "words": phf.words.tobytes()} | {k: v[at].tobytes() for k, v in cols.items()}])
 
 
 class LineIndex:
@@ -83,21 +89,19 @@ class LineIndex:
         if k not in self.open:
             r = self.raw[k]
             phf = PerfectHash(np.frombuffer(r.sizes, np.int64), np.frombuffer(r.words, np.uint64))
-            self.open[k] = phf, np.frombuffer(r.fingerprints, np.uint64), np.frombuffer(r.counts, np.uint32), np.frombuffer(r.keepers, np.int64)
+            self.open[k] = int(r.seed), phf, np.frombuffer(r.fingerprints, np.uint64), np.frombuffer(r.counts, np.uint32), np.frombuffer(r.keepers, np.int64)
         return self.open[k]
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents that hold each key (0: not frequent) and the id that keeps it."""
         n, keep = np.zeros(len(h1), np.uint32), np.full(len(h1), NO_ID, np.int64)
         shard = h1.view(np.int64) % self.shards
-        with np.errstate(over="ignore"):
-            key = h1 ^ (h2 * np.uint64(0x9E3779B97F4A7C15))
         for k in np.unique(shard):
             if int(k) not in self.raw:
                 continue
             at = np.flatnonzero(shard == k)
-            phf, fp, counts, keepers = self._shard(int(k))
-            slot = phf.index(key[at])
+            seed, phf, fp, counts, keepers = self._shard(int(k))
+            slot = phf.index(_slot_keys(h1[at], h2[at], seed))
             ok = (slot >= 0) & (fp[np.maximum(slot, 0)] == h2[at])
             n[at[ok]], keep[at[ok]] = counts[slot[ok]], keepers[slot[ok]]
         return n, keep
@@ -132,19 +136,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``text_col`` cut to its kept lines, plus ``n_lines`` and ``n_dropped`` (replaced if there already).
 
     A line's key is the line without blanks at its ends and with A-Z lower-cased. Keys of at least ``min_chars`` code
-    points held by at least ``min_docs`` documents (rows; a repeated row is another document) lose all their lines
-    except in the largest ``id_col`` holding them. A null or empty text is one empty line and comes back as ''. A null
-    id counts as smaller than any other. Other columns pass through whatever their names; an empty table stays empty.
+    points held by at least ``min_docs`` documents (different ids; rows of one id are one document, those without an id
+    too) lose all their lines except in the largest ``id_col`` holding them. A null or empty text is one empty line and
+    comes back as ''. A null id counts as smaller than any other. Repeated rows of the largest id all keep the line. Other columns pass through whatever their names; an empty table stays empty.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped", "__n_lines", "__n_dropped")
-    hashed = docs.select(id_col, text_col).mapInArrow(_count(id_col, text_col, min_chars), "h1 long, h2 long, id long")
-    frequent = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("id"), F.lit(NO_ID)).alias("keep")).where(F.col("n") >= min_docs)
+    hashed = docs.select(id_col, text_col).mapInArrow(tidy(_count(id_col, text_col, min_chars)), "h1 long, h2 long, id long")
+    frequent = hashed.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs)
     frequent = durable(frequent, "frequent-lines")
     total = frequent.count()
     shards = max(1, -(-total // SHARD_KEYS))
     sharded = frequent.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("long"))
-    arrays = durable(sharded.groupBy("shard").applyInPandas(_build, "shard long, sizes binary, words binary, fingerprints binary, counts binary, keepers binary"), "line-arrays")
+    arrays = durable(sharded.groupBy("shard").applyInPandas(_build, "shard long, seed int, sizes binary, words binary, fingerprints binary, counts binary, keepers binary"), "line-arrays")
     per_round = max(1, round_bytes // (21 * SHARD_KEYS))  # 8 + 4 + 8 bytes a key and under 1 of hash
     out_schema = T.StructType([T.StructField(f.name, f.dataType if f.name != text_col else T.StringType()) for f in docs.schema] + [T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
     rounds = range(0, shards, per_round)
@@ -152,7 +156,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for first in rounds:
         rows = arrays.where((F.col("shard") >= first) & (F.col("shard") < first + per_round)).collect()  # bounded by round_bytes
         index = spark.sparkContext.broadcast(LineIndex(shards, rows))
-        out = out.mapInArrow(_drop(id_col, text_col, min_chars, index), out_schema)
+        out = out.mapInArrow(tidy(_drop(id_col, text_col, min_chars, index)), out_schema)
         if first != rounds[-1]:
             out = durable(out, "line-round")
     return out.withColumnsRenamed({"__n_lines": "n_lines", "__n_dropped": "n_dropped"})
@@ -166,10 +170,10 @@ def brute_force(rows: list[tuple[int | None, str | None]], min_docs: int = 3, mi
     """The same by dictionaries, for tests: (id, n_lines, n_dropped, sha256)."""
     lower = {c: c + 32 for c in range(65, 91)}
     split = [(i, (t or "").split("\n")) for i, t in rows]
-    holders: dict[str, list] = {}
+    holders: dict[str, set] = {}
     for i, lines in split:
         for key in {x.strip(BLANKS).translate(lower) for x in lines}:
-            holders.setdefault(key, []).append(NO_ID if i is None else i)
+            holders.setdefault(key, set()).add(NO_ID if i is None else i)
     out = []
     for i, lines in split:
         kept = []

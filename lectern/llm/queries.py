@@ -75,9 +75,9 @@ ORACLE_SQL = {
             SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
             FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)
         ), often AS (
-            SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+            SELECT k, max(coalesce(doc_id, -9223372036854775808)) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT coalesce(doc_id, -9223372036854775808)) >= 3
         ), flagged AS (
-            SELECT l.*, o.k IS NOT NULL AND o.keeper <> l.doc_id AS gone FROM lines l LEFT JOIN often o ON l.k = o.k
+            SELECT l.*, o.k IS NOT NULL AND o.keeper <> coalesce(l.doc_id, -9223372036854775808) AS gone FROM lines l LEFT JOIN often o ON l.k = o.k
         )
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256

@@ -5,9 +5,11 @@ cannot take goes to its siblings in proportion to their weights, and only what n
 is whole epochs of all its documents and a prefix of one more: documents in the order of MD5(seed|epoch|id) as long as
 their running tokens stay within what is left.
 
-The prefix needs no global sort: token totals of 4096 ranges of the MD5 say which ranges are wholly in, and only the one
-range that holds the border is sorted by a window. All work on rows is built-in functions; the driver sees one row a
-leaf (at most ``max_leaves``), not documents.
+The prefix needs no global sort: documents' keys (the MD5 and a hash of the text) are cut into ranges by their first
+letters, token totals of the 256 ranges say which one holds the border, and that one is cut again by the next letters;
+only what few rows are left in the last border range are sorted by a window. All this is on a narrow table of leaves,
+ids and sizes: texts are read once more at the end, by a map that compares each row's key with its leaf's border. All
+work on rows is built-in functions; the driver sees one row a leaf (at most ``max_leaves``), not documents.
 """
 
 from __future__ import annotations
@@ -18,10 +20,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import discard, durable
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BROADCAST_LEAVES = 20_000
+#: Ranges of keys are cut by ``STEP`` letters at a time, until the largest border range has so many rows or its key ends.
+STEP, SORTED_ROWS = 2, 1024
+MD5_LETTERS, KEY_LETTERS = 32, 48
 
 
 def count_words(text: Column) -> Column:
@@ -66,15 +71,17 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Sequence[Mapping
     and the levels' names as columns (replacing such columns). The target is ``budget`` tokens or ``fraction`` of all.
 
     A null level value is the empty string, a null text has no word, a null id counts as an empty one. Repeated rows and
-    ids are rows of their own, ties go by text. Documents without a word are in every epoch but cost nothing. An empty
-    table stays empty."""
+    ids are rows of their own, ties go by a 64-bit hash of the text; of equal rows at the border as many are taken as
+    fit. Documents without a word cost nothing and stand in the order like others; a leaf of such documents only is in
+    every epoch. An empty table stays empty. Texts are read twice, whole, and never sorted or shuffled (up to
+    ``BROADCAST_LEAVES`` leaves; beyond, rows meet their leaf's border in a shuffled join)."""
     names = list(levels)
     made = [*names, "n_tokens", "epoch"]
     paths = [F.coalesce(levels[n].cast("string"), F.lit("")).alias(f"__mix_{n}") for n in names]
     path_cols = [f"__mix_{n}" for n in names]
     identity = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     base = docs.select("*", *paths, identity.alias("__mix_id"), count_words(F.col(text_col)).alias("__mix_n"))
-    slim = durable(base.select(*path_cols, "__mix_id", "__mix_n"), "mix-sizes")
+    slim = durable(base.select(*path_cols, "__mix_id", F.hex(F.xxhash64(F.col(text_col))).alias("__mix_tie"), "__mix_n"), "mix-sizes")
     stats = slim.groupBy(*path_cols).agg(F.sum("__mix_n").alias("n")).limit(max_leaves + 1).collect()
     if len(stats) > max_leaves:
         raise ValueError(f"more than {max_leaves} leaves")
@@ -83,27 +90,55 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Sequence[Mapping
     budgets = leaf_budgets(leaves, target, weights, default, max_epochs)
     plan = [(*path, (b := budgets[path]) // n if n else max_epochs, b % n if n else 0) for path, n in leaves]
     spark = docs.sparkSession
-    quoted = ", ".join(f"`{c}` string" for c in path_cols)
-    plan_df = spark.createDataFrame(plan, f"{quoted}, __mix_full int, __mix_rest long") if plan else spark.createDataFrame([], f"{quoted}, __mix_full int, __mix_rest long")
+    plan_df = spark.createDataFrame(plan, ", ".join(f"`{c}` string" for c in path_cols) + ", __mix_full int, __mix_rest long")
     hint = F.broadcast if len(plan) <= BROADCAST_LEAVES else (lambda x: x)  # a leaf is under 1 kB, so under 20 MB
 
-    def keyed(df: DataFrame) -> DataFrame:
-        key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__mix_full").cast("string"), F.col("__mix_id")))
-        return df.join(hint(plan_df), path_cols).withColumn("__mix_key", key).withColumn("__mix_range", F.substring("__mix_key", 1, 3))
-
-    ranges = keyed(slim).where("__mix_rest > 0").groupBy(*path_cols, "__mix_rest", "__mix_range").agg(F.sum("__mix_n").alias("n"))
-    running = F.sum("n").over(Window.partitionBy(*path_cols).orderBy("__mix_range"))  # 4096 rows a leaf at most
-    border = ranges.withColumn("end", running).where(F.col("end") > F.col("__mix_rest")).groupBy(*path_cols).agg(F.min(F.struct("__mix_range", (F.col("end") - F.col("n")).alias("before"))).alias("b"))
-    border = durable(border.select(*path_cols, F.col("b.__mix_range").alias("__mix_border"), F.col("b.before").alias("__mix_before")), "mix-borders")
-    rows = keyed(base).join(hint(border), path_cols, "left")
-    whole = rows.where("__mix_full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__mix_full") - 1)))
-    # no border although something is left: nothing to cut (documents without words)
-    inside = rows.where("__mix_rest > 0 and __mix_range < __mix_border").withColumn("epoch", F.col("__mix_full"))
-    order = Window.partitionBy(*path_cols, "__mix_range").orderBy("__mix_key", F.xxhash64(F.col(text_col)), text_col).rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.where("__mix_rest > 0 and __mix_range = __mix_border").withColumn("__mix_run", F.sum("__mix_n").over(order) + F.col("__mix_before")).where("__mix_run <= __mix_rest").drop("__mix_run").withColumn("epoch", F.col("__mix_full"))
+    def key(tie: Column) -> Column:
+        return F.concat(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__mix_full").cast("string"), F.col("__mix_id"))), F.lpad(tie, 16, "0"))
+
+    border = plan_df.where("__mix_rest > 0").select(*path_cols, "__mix_full", "__mix_rest", F.lit("").alias("__mix_range"), F.lit(0).cast("long").alias("__mix_before"))
+    while True:
+        old, border = border, durable(_border(_inside(slim, border, path_cols, key(F.col("__mix_tie")), hint), path_cols), "mix-borders")
+        discard(old)
+        if border.where((F.col("__mix_rows") > SORTED_ROWS) & (F.length("__mix_range") < KEY_LETTERS)).isEmpty():
+            break
+    # The first key past the prefix, and how many of the rows that share it (same id, same text) fit in still.
+    last = _inside(slim, border, path_cols, key(F.col("__mix_tie")), hint).groupBy(*path_cols, "__mix_rest", "__mix_before", "__mix_key").agg(F.sum("__mix_n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    running = last.withColumn("end", F.col("__mix_before") + F.sum("n").over(Window.partitionBy(*path_cols).orderBy("__mix_key"))).where("end > __mix_rest")
+    first = running.groupBy(*path_cols).agg(F.min(F.struct("__mix_key", F.expr("(__mix_rest - (end - n)) div (n div rows)").alias("take"))).alias("b"))
+    bounds = durable(plan_df.join(hint(first), path_cols, "left").select(*path_cols, "__mix_full", F.col("b.__mix_key").alias("__mix_bound"), F.coalesce("b.take", F.lit(0)).alias("__mix_take")), "mix-bounds")
+    discard(border)
+    rows = base.join(hint(bounds), path_cols).withColumn("__mix_key", key(F.hex(F.xxhash64(F.col(text_col)))))
+    whole = F.when(F.col("__mix_full") > 0, F.sequence(F.lit(0), F.col("__mix_full") - 1)).otherwise(F.array().cast("array<int>"))
+    one_more = F.when(F.col("__mix_key") < F.col("__mix_bound"), F.array("__mix_full")).otherwise(F.array().cast("array<int>"))
     keep = [c for c in docs.columns if c not in made]
     cols = [*(F.col(f"`{c}`") for c in keep), *(F.col(f"__mix_{n}").alias(n) for n in names), F.col("__mix_n").alias("n_tokens"), F.col("epoch").cast("int").alias("epoch")]
-    return whole.select(*cols).unionByName(inside.select(*cols)).unionByName(edge.select(*cols))
+    out = rows.withColumn("epoch", F.explode(F.concat(whole, one_more))).select(*cols)
+    if not bounds.where("__mix_take > 0").isEmpty():  # some of several equal rows: which ones makes no difference
+        tied = rows.where("__mix_take > 0 and __mix_key = __mix_bound").withColumn("epoch", F.col("__mix_full"))
+        number = F.row_number().over(Window.partitionBy(*path_cols, "__mix_key").orderBy("__mix_n"))
+        out = out.unionByName(tied.withColumn("__mix_number", number).where("__mix_number <= __mix_take").select(*cols))
+    return out
+
+
+def _inside(slim: DataFrame, border: DataFrame, path_cols: list[str], key: Column, hint) -> DataFrame:
+    """Rows of the border ranges, with their key."""
+    wide = slim.join(hint(border.select(*path_cols, "__mix_full", "__mix_rest", "__mix_range", "__mix_before")), path_cols)
+    return wide.withColumn("__mix_key", key).where(F.startswith("__mix_key", "__mix_range"))
+
+
+def _border(narrow: DataFrame, path_cols: list[str]) -> DataFrame:
+    """Each leaf's border range cut by the next letters: the part that holds the border, the tokens before it and its
+    rows; a window's 256 parts a leaf at most. Where all rows of the part share one MD5, the next cut is behind it."""
+    of = [*path_cols, "__mix_full", "__mix_rest", "__mix_range", "__mix_before"]
+    md5 = F.substring("__mix_key", 1, MD5_LETTERS)
+    cut = F.expr(f"substring(__mix_key, length(__mix_range) + 1, {STEP})")
+    parts = narrow.groupBy(*of, cut.alias("cut")).agg(F.sum("__mix_n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min(md5).alias("least"), F.max(md5).alias("most"))
+    parts = parts.withColumn("end", F.col("__mix_before") + F.sum("n").over(Window.partitionBy(*path_cols).orderBy("cut")))
+    found = parts.where("end > __mix_rest").groupBy(*of[:-1]).agg(F.min(F.struct("cut", (F.col("end") - F.col("n")).alias("before"), "rows", "least", "most")).alias("b"))
+    shorter = F.length("__mix_range") + STEP < MD5_LETTERS
+    reach = F.when(shorter & (F.col("b.least") == F.col("b.most")), F.col("b.least")).otherwise(F.concat("__mix_range", "b.cut"))
+    return found.select(*of[:-2], reach.alias("__mix_range"), F.col("b.before").alias("__mix_before"), F.col("b.rows").alias("__mix_rows"))
 
 
 def default_levels() -> dict[str, Column]:

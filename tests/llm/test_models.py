@@ -63,6 +63,24 @@ def test_mixing_equals_brute_force(docs, empty):
     assert mixing.mix(empty, levels, weights, fraction=0.5).isEmpty()
 
 
+@pytest.mark.parametrize("cap", [1024, 1])
+def test_mixing_without_ids_and_with_equal_rows(spark, monkeypatch, cap):
+    monkeypatch.setattr(mixing, "SORTED_ROWS", cap)
+    rows = [(None, f"text number {i} " + "w " * (i % 7), "aa", "src1") for i in range(60)] + [(7, "same row here", "aa", "src2")] * 9 + [(8, "", "aa", "src2")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    for fraction in (0.5, 1.4):
+        got = mixing.mix(docs, mixing.default_levels(), [{}, {}, {}], fraction=fraction).collect()
+        for source, each in (("src1", [len(r[1].split()) for r in rows if r[3] == "src1"]), ("src2", [3] * 9)):
+            n = sum(each)
+            budget = mixing.leaf_budgets([(("d1", "aa", "src1"), sum(len(r[1].split()) for r in rows[:60])), (("d2", "aa", "src2"), 27)], sum(len(r[1].split()) for r in rows) * fraction, [{}, {}, {}], 1.0, 2)["d1" if source == "src1" else "d2", "aa", source]
+            full, rest = divmod(budget, n)
+            last = [r.n_tokens for r in got if r.source == source and r.epoch == full]
+            assert sum(1 for r in got if r.source == source and r.n_tokens and r.epoch < full) == full * len(each)
+            # a prefix of the order: what is in fits, and of rows that are all the same as many as fit
+            assert sum(last) <= rest and (source == "src1" or sum(1 for x in last if x) == rest // 3)
+            assert sum(last) > rest - max(each)
+
+
 def test_shortage_goes_to_siblings_first():
     leaves = [(("a", "x"), 10), (("a", "y"), 100), (("b", "x"), 100)]
     got = mixing.leaf_budgets(leaves, 100, [{"a": 0.5, "b": 0.5}, {"x": 0.9, "y": 0.1}], 1.0, 1)

@@ -20,6 +20,9 @@ def rows():
     words = "the of and licence text über Straße naïve 漢字 data's 12,345 x".split()
     out = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))).replace(" x", "\n")) for i in range(60)]
     out += [(60, None), (61, ""), (62, "\n\n"), (63, LONG), (64, LONG + "\nend"), (65, LONG), (None, LONG), (66, "one"), (67, "ONE"), (68, "one  two\t\n three"), (69, "  lead and trail \n"), (69, "  lead and trail \n"), (70, "é" * 25), (71, "É" * 25), (72, "  " + "é" * 25), (73, "<|endoftext|> a\x1cb c d \xa0 e"), (74, "a\n\n  b   \n c!?\x1c!  ")]
+    out += [(75, "<|endoftext|> x"), (76, "say<|startoftext|><|ENDOFTEXT|> it"), (77, LONG[:3000] + " <|endoftext|>\n" + LONG[:500]), (78, "<|endoftext|>")]
+    held = "Held by two documents, one of them twice"  # so it stays
+    out += [(80, held), (80, held), (81, held), (82, "In three documents, twice in the last"), (83, "In three documents, twice in the last"), (84, "In three documents, twice in the last"), (84, "in three documents, twice in the last \nx")]
     return out
 
 
@@ -41,10 +44,25 @@ def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64))
     assert sorted(PerfectHash.build(keys).index(keys)) == list(range(len(keys)))
     assert len(PerfectHash.build(keys[:0]).index(keys)) == len(keys)
+    with pytest.raises(ValueError):
+        PerfectHash.build(np.array([5, 9, 5], np.uint64))
+
+
+def test_keys_that_mix_to_the_same_value_are_told_apart():
+    import pandas as pd
+
+    from lectern.llm.hashing import mix
+
+    h2 = np.array([3, 4, 5], np.uint64)
+    h1 = mix(h2, 0) ^ np.uint64(7)  # under the first seed all three are 7
+    row = line_dedup._build(pd.DataFrame({"shard": 0, "h1": h1.view(np.int64), "h2": h2.view(np.int64), "n": [3, 4, 5], "keep": [30, 40, 50]})).iloc[0]
+    n, keep = line_dedup.LineIndex(1, [row]).probe(np.append(h1, h1[:1]), np.append(h2, h2[1:2]))
+    assert n.tolist() == [3, 4, 5, 0] and keep.tolist()[:3] == [30, 40, 50]
 
 
 @pytest.mark.parametrize("round_bytes", [64 << 20, 1])
 def test_line_dedup(docs, rows, round_bytes, monkeypatch):
+    assert {(w[0], w[2]) for w in line_dedup.brute_force(rows) if w[0] in (80, 81, 82, 83, 84)} == {(80, 0), (81, 0), (82, 1), (83, 1), (84, 0)}
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 200 if round_bytes == 1 else 1 << 16)
     out = line_dedup.dedup_lines(docs, round_bytes=round_bytes)
     assert out.columns == ["doc_id", "text", "lang", "fp", "n_lines", "n_dropped"]
@@ -66,7 +84,6 @@ def expected_ids(rows, name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return [(i, [*t.encode(x or "", add_special_tokens=False).ids, end]) for i, x in rows]
 
 
@@ -207,6 +224,41 @@ def test_media(docs, rows):
     assert all(r.error is None and r.width == 64 and len(r.dhash) == 16 and np.load(__import__("io").BytesIO(r.tile)).shape == (32, 32, 1) for r in got)
 
 
+def brute_dhash(pixels, size=8):
+    """Means of a picture's cells, part of a pixel counting by its area, one by one; then neighbours compared."""
+    h, w = pixels.shape
+    cells = [[0.0] * (size + 1) for _ in range(size)]
+    for i in range(size):
+        for j in range(size + 1):
+            top, bottom, left, right = i * h / size, (i + 1) * h / size, j * w / (size + 1), (j + 1) * w / (size + 1)
+            total = 0.0
+            for y in range(int(top), min(h, int(np.ceil(bottom)))):
+                for x in range(int(left), min(w, int(np.ceil(right)))):
+                    total += float(pixels[y, x]) * (min(bottom, y + 1) - max(top, y)) * (min(right, x + 1) - max(left, x))
+            cells[i][j] = total / ((bottom - top) * (right - left))
+    bits = "".join("1" if cells[i][j] < cells[i][j + 1] - 1e-9 else "0" for i in range(size) for j in range(size))
+    return f"{int(bits, 2):016x}"
+
+
+def test_media_feature_against_brute_force(docs, rows):
+    got = {}
+    for r in media.decode_media(media.text_media(docs)).select("doc_id", "pixels", "dhash").collect():
+        got.setdefault(r.doc_id, set()).add((len(r.pixels), r.dhash))
+    for i, t in rows:
+        raw = (t or "").encode()
+        if len(raw) < 20_000:
+            pixels = np.frombuffer(raw + bytes(-len(raw) % 64 if raw else 64), np.uint8).reshape(-1, 64)
+            assert (pixels.size, brute_dhash(pixels)) in got[i], i
+
+
+def test_resize_in_bands(monkeypatch):
+    image = np.random.default_rng(5).integers(0, 256, (500, 64, 3)).astype(np.uint8)
+    whole = media.resize_area(image, 32, 32)
+    monkeypatch.setattr(media, "BAND", 3)
+    assert np.allclose(media.resize_area(image, 32, 32), whole)
+    assert np.allclose(whole.mean((0, 1)), image.mean((0, 1)))
+
+
 def test_media_formats(spark):
     rng = np.random.default_rng(2)
     grey = rng.integers(0, 256, (5, 7)).astype(np.uint8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,24 @@ from ..session import discard, durable
 ROWS_A_TASK = 500_000
 
 
+def forest(src: np.ndarray, dst: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the given ones connect."""
+    names, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    root = list(range(len(names)))
+    out = []
+    half = len(src)
+    for a, b in zip(ends[:half].tolist(), ends[half:].tolist(), strict=True):
+        x, y = a, b
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((int(names[x]), int(names[y])))
+    return out
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node of node's component. ``links``: src, dst (longs, not null); nodes without
     a link aren't named; repeated links and those of a node to itself change nothing; no link, no row. Each round is

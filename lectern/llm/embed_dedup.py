@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .components import components
+from .components import components, forest
 from .hnsw import Hnsw
 
 SLACK = 1e-4  # float32 similarities may be off by less than this
@@ -69,24 +69,6 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"dims": int(raw.shape[1]), "shard": int(pdf.shard.iloc[0]), "n": len(pdf), "rep": pdf.rep.to_numpy().tobytes(), "copies": pdf.copies.to_numpy().tobytes(), "raw": raw.tobytes(), "graph": graph.dump()}])
 
 
-def _forest(src: np.ndarray, dst: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what the given ones connect."""
-    names, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    root = list(range(len(names)))
-    out = []
-    half = len(src)
-    for a, b in zip(ends[:half].tolist(), ends[half:].tolist(), strict=True):
-        x, y = a, b
-        while root[a] != a:
-            root[a] = a = root[root[a]]
-        while root[b] != b:
-            root[b] = b = root[root[b]]
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((int(names[x]), int(names[y])))
-    return out
-
-
 def _audit(least: float, queries, recall: float, widest: int):
     """For each shard, the smallest beam among 32, 64, ... whose recall for the sampled queries is ``recall``."""
 
@@ -169,7 +151,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     q, node = opened.links(rep, raw, least, ef)
                     n = np.bincount(q, weights=opened.copies[node], minlength=len(rep)).astype(np.int64)
                     some_n = np.flatnonzero(n)
-                    tree = np.array(_forest(rep[q], opened.rep[node]), np.int64).reshape(-1, 2)
+                    tree = np.array(forest(rep[q], opened.rep[node]), np.int64).reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[some_n], tree[:, 0]])), pa.array(np.concatenate([np.full(len(some_n), -1), tree[:, 1]]), mask=np.arange(len(some_n) + len(tree)) < len(some_n)), pa.array(np.concatenate([n[some_n], np.zeros(len(tree), np.int64)]))], names=["src", "dst", "n"])
 
         return run

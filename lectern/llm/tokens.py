@@ -41,7 +41,7 @@ class Encoder:
     A text that holds the string of an added token (``<|endoftext|>``) goes to the library whole, which gives that
     token's id; all others are cut."""
 
-    def __init__(self, path: str, cut: str, limit: int = 400_000, chars: int = 6 << 20):
+    def __init__(self, path: str, cut: str, limit: int = 120_000, chars: int = 2 << 20):
         from tokenizers import Tokenizer
 
         if cut not in ("words", "spaces"):

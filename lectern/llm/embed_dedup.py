@@ -2,7 +2,8 @@
 precision, components of the links.
 
 Equal vectors collapse to one representative first. Shards hold about ``shard_rows`` vectors, so a graph is bounded
-(some 400 bytes a vector of 64 floats) and is broadcast to the queries of a round; further shards take further rounds.
+(some 1 kB a vector of 64 floats). Executors write each graph to a file in the shared folder, and the tasks of a block of
+queries open the files there one after another; the driver knows their names only.
 Before that, audits compare the beam with brute force for sampled queries against each shard, widening it until recall
 is at least ``recall``. In the search itself a query whose beam comes back half full of close vectors is widened, at
 last to all rows of the shard, so a large group of near copies loses no link. What a batch of queries finds leaves the
@@ -11,6 +12,8 @@ task as counts and a spanning forest, never as all pairs of a group.
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,22 +22,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, shared_dir
 from .components import components, forest
 from .hnsw import Hnsw
+from .workers import release, tidy
 
 SLACK = 1e-4  # float32 similarities may be off by less than this
-ROUND_SHARDS = 4
+ROUND_SHARDS = 64  # opened by a task one after another
+BLOCK_ROWS = 50_000  # queries of a task
 AUDIT, AUDIT_LIMIT = 128, 1024
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
-    scale = np.abs(raw).max(1, keepdims=True)
-    x = raw / scale
+    x = _scaled(raw)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no cosine and keeps squares from overflow and from nothing."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = _scaled(a), _scaled(b)
     return np.einsum("nd,nd->n", a, b) / (np.sqrt(np.einsum("nd,nd->n", a, a)) * np.sqrt(np.einsum("nd,nd->n", b, b)))
 
 
@@ -48,10 +58,26 @@ class Shard:
     def __init__(self, rep: np.ndarray, copies: np.ndarray, raw: np.ndarray, graph: Hnsw):
         self.rep, self.copies, self.raw, self.graph = rep, copies, raw, graph
 
+    def save(self, path: str) -> None:
+        """Write the shard whole or not at all: a task that is run again leaves one file."""
+        from pyarrow import fs as stores
+
+        store, place = stores.FileSystem.from_uri(path)
+        store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        raw = io.BytesIO()
+        np.savez(raw, rep=self.rep, copies=self.copies, raw=self.raw, graph=np.frombuffer(self.graph.dump(), np.uint8))
+        with store.open_output_stream(other := f"{place}-{uuid.uuid4().hex}") as out:
+            out.write(raw.getbuffer())
+        store.move(other, place)
+
     @classmethod
-    def load(cls, row) -> Shard:
-        raw = np.frombuffer(row.raw, np.float64).reshape(row.n, -1)
-        return cls(np.frombuffer(row.rep, np.int64), np.frombuffer(row.copies, np.int64), raw, Hnsw.load(row.graph))
+    def load(cls, path: str) -> Shard:
+        from pyarrow import fs as stores
+
+        store, place = stores.FileSystem.from_uri(path)
+        with store.open_input_file(place) as f:
+            z = np.load(io.BytesIO(f.read()))
+            return cls(z["rep"], z["copies"], z["raw"], Hnsw.load(z["graph"].tobytes()))
 
     def links(self, rep: np.ndarray, raw: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """(query numbers, nodes) whose verified cosine is at least ``least``; a query doesn't meet itself."""
@@ -62,23 +88,26 @@ class Shard:
         return q[keep], node[keep]
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep")
-    raw = np.frombuffer(b"".join(pdf.raw), np.float64).reshape(len(pdf), -1)
-    graph = Hnsw(_unit(raw))
-    return pd.DataFrame([{"dims": int(raw.shape[1]), "shard": int(pdf.shard.iloc[0]), "n": len(pdf), "rep": pdf.rep.to_numpy().tobytes(), "copies": pdf.copies.to_numpy().tobytes(), "raw": raw.tobytes(), "graph": graph.dump()}])
+def _build(folder: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        raw = np.frombuffer(b"".join(pdf.raw), np.float64).reshape(len(pdf), -1)
+        path = f"{folder}/{raw.shape[1]}-{int(pdf.shard.iloc[0])}.npz"
+        Shard(pdf.rep.to_numpy(), pdf.copies.to_numpy(), raw, Hnsw(_unit(raw))).save(path)
+        release()
+        return pd.DataFrame([{"dims": raw.shape[1], "shard": int(pdf.shard.iloc[0]), "path": path}])
+
+    return run
 
 
 def _audit(least: float, queries, recall: float, widest: int):
     """For each shard, the smallest beam among 32, 64, ... whose recall for the sampled queries is ``recall``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from types import SimpleNamespace
-
         for b in batches:
             out = []
             for row in b.to_pylist():
-                shard = Shard.load(SimpleNamespace(**row))
+                shard = Shard.load(row["path"])
                 rep, raw = queries.value.get(row["dims"], (np.zeros(0, np.int64), np.zeros((0, row["dims"]))))
                 # sampled vectors of all shards, and some of this one, to which others may be close
                 step = max(1, len(shard.rep) // AUDIT_LIMIT)
@@ -110,7 +139,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors that are null, empty, all zero, or hold null, NaN or infinite components link with nothing and stay, as do
     rows with a null id. Vectors of different lengths don't link. Repeated rows are vectors of their own that link with
-    each other. An empty table gives no row."""
+    each other. An empty table gives no row. The shared folder must be one that pyarrow reaches from every executor."""
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -126,47 +155,46 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     total = reps.count()
     shards = max(min_shards, -(-total // shard_rows))
-    packed = reps.select("rep", "copies", "v").mapInArrow(as_bytes, "rep long, copies long, raw binary")
+    packed = reps.select("rep", "copies", "v").mapInArrow(tidy(as_bytes), "rep long, copies long, raw binary")
     packed = durable(packed.withColumn("dims", (F.octet_length("raw") / 8).cast("int")).withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")), "shard-vectors")
-    graphs = durable(packed.groupBy("dims", "shard").applyInPandas(_build, "dims int, shard int, n long, rep binary, copies binary, raw binary, graph binary"), "shard-graphs")
+    folder = f"{shared_dir(spark)}/lectern/graphs-{uuid.uuid4().hex}"
+    graphs = durable(packed.groupBy("dims", "shard").applyInPandas(_build(folder), "dims int, shard int, path string"), "shard-graphs")
 
     sample: dict[int, list] = {}
     for r in packed.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(AUDIT).collect():
         sample.setdefault(r.dims, []).append(r)
     queries = spark.sparkContext.broadcast({d: (np.array([r.rep for r in rs]), np.stack([np.frombuffer(r.raw, np.float64) for r in rs])) for d, rs in sample.items()})
-    audit = graphs.mapInArrow(_audit(least, queries, recall, widest), "ef long, truth long, found long").agg(F.max("ef"), F.sum("truth"), F.sum("found")).first()
+    audit = graphs.repartition("dims", "shard").mapInArrow(tidy(_audit(least, queries, recall, widest)), "ef long, truth long, found long").agg(F.max("ef"), F.sum("truth"), F.sum("found")).first()
     ef, truth, found = audit[0] or 32, audit[1] or 0, audit[2] or 0
     if truth and found < 0.9 * truth:
         raise RuntimeError(f"audited recall {found / truth:.3f} with a beam of {ef}")
 
-    def search(shard):
+    def search(paths):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            opened = None
-            for b in batches:
-                row = shard.value
-                opened = opened or Shard.load(row)
-                for lo in range(0, b.num_rows, 2048):
-                    some = b.slice(lo, 2048)
-                    rep, raw = some.column("rep").to_numpy(), _matrix(some.column("raw"))
-                    q, node = opened.links(rep, raw, least, ef)
-                    n = np.bincount(q, weights=opened.copies[node], minlength=len(rep)).astype(np.int64)
-                    some_n = np.flatnonzero(n)
-                    tree = np.array(forest(rep[q], opened.rep[node]), np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[some_n], tree[:, 0]])), pa.array(np.concatenate([np.full(len(some_n), -1), tree[:, 1]]), mask=np.arange(len(some_n) + len(tree)) < len(some_n)), pa.array(np.concatenate([n[some_n], np.zeros(len(tree), np.int64)]))], names=["src", "dst", "n"])
-
-        return run
-
-    blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    places = sorted((r.dims, r.shard) for r in graphs.select("dims", "shard").collect())
+            held = [(b.column("rep").to_numpy(), _matrix(b.column("raw"))) for b in batches if b.num_rows]  # some BLOCK_ROWS queries
+            for path in paths if held else ():
+                opened = Shard.load(path)
+                for reps_, raws in held:
+                    for lo in range(0, len(reps_), 2048):
+                        rep, raw = reps_[lo : lo + 2048], raws[lo : lo + 2048]
+                        q, node = opened.links(rep, raw, least, ef)
+                        n = np.bincount(q, weights=opened.copies[node], minlength=len(rep)).astype(np.int64)
+                        some_n = np.flatnonzero(n)
+                        tree = np.array(forest(rep[q], opened.rep[node]), np.int64).reshape(-1, 2)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[some_n], tree[:, 0]])), pa.array(np.concatenate([np.full(len(some_n), -1), tree[:, 1]]), mask=np.arange(len(some_n) + len(tree)) < len(some_n)), pa.array(np.concatenate([n[some_n], np.zeros(len(tree), np.int64)]))], names=["src", "dst", "n"])
+
+        return tidy(run)
+
+    blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-total // BLOCK_ROWS))
+    files: dict[int, list[str]] = {}
+    for r in graphs.select("dims", "shard", "path").collect():  # names only
+        files.setdefault(r.dims, []).append(r.path)
     found_rows = None
-    for first in range(0, len(places), ROUND_SHARDS):
-        part = None
-        for dims, k in places[first : first + ROUND_SHARDS]:
-            row = graphs.where((F.col("dims") == dims) & (F.col("shard") == k)).first()  # a graph, bounded by shard_rows
-            hits = packed.where(F.col("dims") == dims).select("rep", "raw").repartition(blocks).mapInArrow(search(spark.sparkContext.broadcast(_Row(row))), "src long, dst long, n long")
-            part = hits if part is None else part.unionByName(hits)
-        part = durable(part, "vector-links")
-        found_rows = part if found_rows is None else found_rows.unionByName(part)
+    for dims, paths in sorted(files.items()):
+        for first in range(0, len(paths), ROUND_SHARDS):
+            hits = packed.where(F.col("dims") == dims).select("rep", "raw").repartition(blocks).mapInArrow(search(sorted(paths)[first : first + ROUND_SHARDS]), "src long, dst long, n long")
+            part = durable(hits, "vector-links")
+            found_rows = part if found_rows is None else found_rows.unionByName(part)
     if found_rows is None:
         found_rows = spark.createDataFrame([], "src long, dst long, n long")
     linked = components(found_rows.where("dst is not null").select("src", "dst"))
@@ -176,10 +204,3 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     out = keyed.drop("v").join(known, ["k1", "k2"]).select("id", "n_links", "component_id")
     alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-class _Row:
-    """The fields of a graph's row, for a broadcast."""
-
-    def __init__(self, row):
-        self.n, self.rep, self.copies, self.raw, self.graph = row.n, bytes(row.rep), bytes(row.copies), bytes(row.raw), bytes(row.graph)

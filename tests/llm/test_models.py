@@ -41,15 +41,43 @@ def test_language_id(docs, empty):
     assert none.predict(docs).where("lang_pred <> 'und'").isEmpty() and none.predict(empty).isEmpty()
 
 
+def brute_symbols(text):
+    """A text's symbols by the rule in words: blank for what isn't a letter, a letter's own, one of OTHERS classes."""
+    out = []
+    for c in text:
+        low = c.lower()[0]
+        out.append(0 if not c.isalpha() else low if "a" <= low <= "z" else 27 + (ord(low) * 2654435761 >> 12) % lang_id.OTHERS)
+    return [0, 0, *out, 0, 0]
+
+
+def brute_grams(text):
+    """Every 1-, 2- and 3-gram: those that begin at a symbol, the text followed by blanks."""
+    s = [*brute_symbols(text), 0, 0]
+    return {tuple(s[i : i + n]) for n in (1, 2, 3) for i in range(len(s) - 2)}
+
+
 def test_language_kernel_is_the_sum_over_landmarks():
     rng = random.Random(3)
-    texts = [prose(rng, k) for k in ("aa", "bb") for _ in range(10)]
-    flags, letters = lang_id.presence(texts + ["", "é"])
-    grams = {t: {f"  {t}  "[i : i + n] for n in (1, 2, 3) for i in range(len(t))} for t in texts}
-    assert letters.tolist() == [True] * 20 + [False, True] and len(grams) == 20
-    w, b = lang_id._solve(np.packbits(flags[:20], axis=1), np.array([0] * 10 + [1] * 10), 2, 8, 1e-4)
-    scores = flags[:20] @ w / np.sqrt(flags[:20].sum(1, keepdims=True)) + b
-    assert (scores.argmax(1) == np.array([0] * 10 + [1] * 10)).all()
+    texts = [prose(rng, k) for k in ("aa", "bb", "cc") for _ in range(10)]
+    flags, letters = lang_id.presence(texts + ["", "é", "12 !!", "ÀZß漢"])
+    assert letters.tolist() == [True] * 30 + [False, True, False, True]
+    grams = [brute_grams(t) for t in texts + ["", "é", "12 !!", "ÀZß漢"]]
+    assert (flags.astype(np.int64) @ flags.T.astype(np.int64) == np.array([[len(a & b) for b in grams] for a in grams])).all()
+    # Nystroem features, weighted ridge regression and the prediction, step by step from the sets
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    train, target = grams[:30], np.repeat(np.arange(3), 10)
+    marks = [train[k] for k in (0, 10, 20, 1, 11, 21, 2, 12)]  # one of each label in turn
+    kmm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(kmm)
+    root = vectors / np.sqrt(values)
+    phi = np.array([[kernel(a, b) for b in marks] for a in train]) @ root
+    y = np.where(target[:, None] == np.arange(3), 1.0, -1.0)
+    mean, middle = phi.mean(0), y.mean(0)
+    w = np.linalg.solve((phi - mean).T @ (phi - mean) + 1e-4 * 30 * np.eye(8), (phi - mean).T @ (y - middle))
+    want = (np.array([[kernel(a, b) for b in marks] for a in grams]) @ root - mean) @ w + middle
+    weights, bias = lang_id._solve(np.packbits(flags[:30], axis=1), target, 3, 8, 1e-4)
+    got = flags @ weights / np.sqrt(flags.sum(1, dtype=np.int64))[:, None] + bias
+    assert np.allclose(got, want, atol=2e-3) and (got[:30].argmax(1) == target).all()
 
 
 def test_mixing_equals_brute_force(docs, empty):
@@ -169,6 +197,12 @@ def test_graph_search():
     assert len(want & set(zip(q.tolist(), node.tolist(), strict=True))) >= 0.99 * len(want)
 
 
+def test_cosine_of_very_large_and_very_small_components(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [2e-200, -1e-200]), (4, [5e-324, 1e-323])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(120, 8)).astype(np.float32)

@@ -96,7 +96,7 @@ def closure(start: DataFrame, groups: DataFrame, most: int = 50) -> DataFrame:
 
 def in_cycles(edges: DataFrame, most: int = 1000) -> DataFrame:
     """Nodes left when nodes without an incoming or without an outgoing edge are peeled off again and again: none if
-    the order has no cycle."""
+    the order has no cycle. A round peels a node off each end of a path; what isn't settled after ``most`` rounds raises."""
     left = durable(edges.select("source", "target").distinct(), "cycle-edges")
     n = left.count()
     for _ in range(most):
@@ -106,16 +106,23 @@ def in_cycles(edges: DataFrame, most: int = 1000) -> DataFrame:
         if now == n:
             break
         n = now
+    else:
+        raise RuntimeError(f"paths are longer than {most} rounds peel off")
     return left.select(F.col("source").alias("id")).unionByName(left.select(F.col("target").alias("id"))).distinct()
 
 
-def chains(links: DataFrame, most: int = 10_000) -> DataFrame:
-    """(head, node, pos) of one-to-one links without cycles, from heads that nothing links to."""
-    heads = links.join(links.select(F.col("target").alias("source")), "source", "left_anti").select(F.col("source").alias("head"), F.col("source").alias("node"), F.lit(0).alias("pos"))
-    out, front = heads, durable(heads, "chain-front")
-    for _ in range(most):
-        front = durable(front.join(links, front.node == links.source).select("head", F.col("target").alias("node"), (F.col("pos") + 1).alias("pos")), "chain-front")
-        if front.isEmpty():
+def chains(links: DataFrame) -> DataFrame:
+    """(head, node, pos) of one-to-one links, from heads that nothing links to; nodes of a cycle have no head and no row.
+
+    Pointers double: after k rounds a node knows the node 2**k links before it, or its head and how far that is, so a
+    chain of n nodes takes log2(n) rounds."""
+    ends = links.select(F.col("source").alias("node")).unionByName(links.select(F.col("target").alias("node"))).distinct()
+    before = links.select(F.col("target").alias("node"), F.col("source").alias("prev"))
+    state = durable(ends.join(before, "node", "left").select("node", F.coalesce("prev", "node").alias("at"), F.col("prev").isNotNull().cast("long").alias("pos")), "chain-state")
+    heads = durable(state.where("pos = 0").select(F.col("node").alias("head")), "chain-heads")
+    for _ in range(state.count().bit_length()):
+        if state.join(heads, state["at"] == heads["head"], "left_anti").isEmpty():
             break
-        out = out.unionByName(front)
-    return out
+        far = state.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("pos").alias("more"))
+        state = durable(state.join(far, "at").select("node", F.col("further").alias("at"), (F.col("pos") + F.col("more")).alias("pos")), "chain-state")
+    return state.join(heads, state["at"] == heads["head"]).select("head", "node", F.col("pos").cast("int").alias("pos"))

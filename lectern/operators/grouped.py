@@ -11,7 +11,9 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 TINY = 1e-9
 
@@ -51,6 +53,27 @@ def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Ca
     return dealt.mapInPandas(run, f"{kinds}, {schema}")
 
 
+def per_row(df: DataFrame, keep: Sequence[str], work: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """Rows that ``work`` makes of the other columns' values of each row, ``keep`` coming first: a map, no row is moved and
+    repeated or null keys change nothing."""
+    fields = [f.strip().split(" ")[0] for f in schema.split(",")]
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+    rest = [c for c in df.columns if c not in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, made = [], []
+            for i, values in enumerate(zip(*(b.column(c).to_pylist() for c in rest), strict=True)):
+                rows = work(*values)
+                at += [i] * len(rows)
+                made += rows
+            columns = list(zip(*made, strict=True)) or [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(at, pa.int64())) for k in keep), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=[*keep, *fields])
+
+    types = [f.type for f in to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)]
+    return df.select(*keep, *rest).mapInArrow(run, f"{kinds}, {schema}")
+
+
 # -- alignment ------------------------------------------------------------------------------------------------------
 
 
@@ -218,8 +241,9 @@ def throttle(rows: list[tuple[str, float]], gap: float = 2.0) -> list[bool]:
 
 
 def cut_text(text: str, most: int = 1800, least_share: float = 0.5, marks: str = "\n\n|(?<=[.!?。！？])\\s") -> list[str]:
-    """Pieces of at most ``most`` characters, cut at the last mark after ``least_share`` of the room, or else hard."""
-    out = []
+    """Pieces of at most ``most`` characters, cut at the last mark after ``least_share`` of the room, or else hard. Null
+    is an empty text."""
+    text, out = text or "", []
     while len(text) > most:
         ends = [m.end() for m in re.finditer(marks, text[:most]) if m.end() >= most * least_share]
         end = ends[-1] if ends else most
@@ -229,8 +253,8 @@ def cut_text(text: str, most: int = 1800, least_share: float = 0.5, marks: str =
 
 
 def mask_tokens(text: str, pattern: str, block: int) -> tuple[str, list[tuple[str, str]]]:
-    """Protected tokens replaced by numbered markers, and what each marker stands for."""
-    found: list[tuple[str, str]] = []
+    """Protected tokens replaced by numbered markers, and what each marker stands for. Null is an empty text."""
+    text, found = text or "", []
 
     def one(m: re.Match) -> str:
         found.append((f"⟦PP{block}_{len(found)}⟧", m[0]))

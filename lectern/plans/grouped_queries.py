@@ -49,7 +49,7 @@ def k09(t: Tables):
 @query("k08_block_dp")
 def k08(t: Tables):
     def work(pdf):
-        left, right = (pdf.text[pdf.role == r].tolist() for r in ("user", "assistant"))
+        left, right = (pdf.text[pdf.role == r].fillna("").tolist() for r in ("user", "assistant"))
         units = G.align(len(left), len(right), lambda i, j: G.overlap_score(left[i], right[j]), 0.8)
         return [(i, a, b, c) for i, (a, b, c) in enumerate(units)]
 
@@ -80,19 +80,17 @@ def k25(t: Tables):
     """Where a document's words come closest to its own tenth to twentieth word with one of them changed."""
     rows = t.documents.select("doc_id", T.word_tokens(F.col("text")).alias("words"))
 
-    def work(pdf):
-        words = list(pdf.words.iloc[0])
-        needle = [*words[9:14], "changed", *words[15:20]]
-        found = G.approximate_range(words, needle)
+    def work(words):
+        found = G.approximate_range(words, [*words[9:14], "changed", *words[15:20]])
         return [found] if found else []
 
-    return G.per_group(rows, ["doc_id"], ["doc_id"], work, "first long, end long, confidence double")
+    return G.per_row(rows, ["doc_id"], work, "first long, end long, confidence double")
 
 
 @query("j12_cursor_matches")
 def j12(t: Tables):
-    rows = t.documents.select("doc_id", "text", T.sentences(F.col("text")).alias("s"))
-    return G.per_group(rows, ["doc_id"], ["doc_id"], lambda pdf: [(i, *m) for i, m in enumerate(G.cursor_matches(pdf.text.iloc[0], list(pdf.s.iloc[0])))], "sentence long, start long, end long, found boolean")
+    rows = t.documents.select("doc_id", T.whole(F.col("text")).alias("text"), T.sentences(F.col("text")).alias("s"))
+    return G.per_row(rows, ["doc_id"], lambda text, s: [(i, *m) for i, m in enumerate(G.cursor_matches(text, s))], "sentence long, start long, end long, found boolean")
 
 
 @query("j21_adjacent_pages")
@@ -117,39 +115,42 @@ def l08(t: Tables):
     return G.per_group(t.conversations, ["conv_id"], ["turn"], work, "question long, answer long, score double")
 
 
+def texts(t: Tables):
+    return t.documents.select("doc_id", T.whole(F.col("text")).alias("text"))
+
+
 @query("t14_mask_restore")
 def t14(t: Tables):
     """Numbers masked by markers, and whether restoring gives the text again."""
     pattern = r"\[\s*(?:\d+(?:\s*[-,]\s*\d+)*)\s*\]|(?<![A-Za-z0-9])[-+]?(?:\d+\.\d+|\d+)(?:%|‰)?"
 
-    def work(pdf):
-        text = pdf.text.iloc[0]
+    def work(text):
         masked, found = G.mask_tokens(text, pattern, 0)
         return [(masked, len(found), G.restore_tokens(masked, found) == text)]
 
-    return G.per_group(t.documents.select("doc_id", "text"), ["doc_id"], ["doc_id"], work, "masked string, tokens long, restored boolean")
+    return G.per_row(texts(t), ["doc_id"], work, "masked string, tokens long, restored boolean")
 
 
 @query("t55_split_oversized")
 def t55(t: Tables):
-    return G.per_group(t.documents.select("doc_id", "text"), ["doc_id"], ["doc_id"], lambda pdf: list(enumerate(G.cut_text(pdf.text.iloc[0]))), "piece long, body string")
+    return G.per_row(texts(t), ["doc_id"], lambda text: list(enumerate(G.cut_text(text))), "piece long, body string")
 
 
 @query("t56_repair_chunks")
 def t56(t: Tables):
-    return G.per_group(t.documents.select("doc_id", "text"), ["doc_id"], ["doc_id"], lambda pdf: list(enumerate(G.cut_text(pdf.text.iloc[0], 340, 120 / 340, r"(?<=[.!?;,。！？；，])\s|\n"))), "piece long, body string")
+    return G.per_row(texts(t), ["doc_id"], lambda text: list(enumerate(G.cut_text(text, 340, 120 / 340, r"(?<=[.!?;,。！？；，])\s|\n"))), "piece long, body string")
 
 
 @query("t57_chunk_by_height")
 def t57(t: Tables):
     """Pieces that fit a box of 20 lines of 60 characters."""
-    return G.per_group(t.documents.select("doc_id", "text"), ["doc_id"], ["doc_id"], lambda pdf: list(enumerate(G.cut_text(pdf.text.iloc[0], 1200, 0.5, r"\s"))), "piece long, body string")
+    return G.per_row(texts(t), ["doc_id"], lambda text: list(enumerate(G.cut_text(text, 1200, 0.5, r"\s"))), "piece long, body string")
 
 
 @query("t49_first_json")
 def t49(t: Tables):
-    rows = t.events.select("event_id", F.concat(F.lit("Here it is: ```json\n"), "props", F.lit("\n``` done }")).alias("raw"))
-    return G.per_group(rows.withColumn("part", F.pmod("event_id", F.lit(64))), ["part"], ["event_id"], lambda pdf: [(int(i), G.first_json(x)) for i, x in zip(pdf.event_id, pdf.raw, strict=True)], "event_id long, doc string")
+    rows = t.events.select("event_id", F.concat(F.lit("Here it is: ```json\n"), T.whole(F.col("props")), F.lit("\n``` done }")).alias("raw"))
+    return G.per_row(rows, ["event_id"], lambda raw: [(G.first_json(raw),)], "doc string")
 
 
 def boxes(t: Tables):

@@ -78,12 +78,13 @@ def t10(t: Tables):
 
 
 @query("t11_sentences", """
-    WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(Fig|Figs|Eq|Eqs|et al)\\.', '\\1' || chr(1), 'g'), '(\\d)\\.(\\d)', '\\1' || chr(1) || '\\2', 'g') AS s FROM documents WHERE NOT contains(text, '://')),
+    WITH u AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '((?i)https?://[^\\s<>"）)]*[^\\s<>"）).!?;。！？；])', chr(2) || '\\1' || chr(3), 'g'), chr(2)), lambda x: CASE WHEN contains(x, chr(3)) THEN replace(string_split(x, chr(3))[1], '.', chr(1)) || string_split(x, chr(3))[2] ELSE x END) AS parts FROM documents),
+    p AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(array_to_string(parts, ''), '(?i)(Figs|Fig|Eqs|Eq|et al)\\.', '\\1' || chr(1), 'g'), '(?i)(e)\\.(g)\\.', '\\1' || chr(1) || '\\2' || chr(1), 'g'), '(?i)(i)\\.(e)\\.', '\\1' || chr(1) || '\\2' || chr(1), 'g'), '(\\d)\\.(\\d)', '\\1' || chr(1) || '\\2', 'g') AS s FROM u),
     q AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(s, '[^。！？!?;；.．\\n]*[。！？!?;；.．]|[^。！？!?;；.．\\n]+'), lambda x: regexp_replace(replace(x, chr(1), '.'), '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 0) AS s FROM p)
     SELECT doc_id, len(s) AS n, array_to_string(s, '|') AS sentences FROM q""")
 def t11(t: Tables):
     some = T.sentences(F.col("text"))
-    return t.documents.where(~F.col("text").contains("://")).select("doc_id", F.size(some).cast("long").alias("n"), joined(some).alias("sentences"))
+    return t.documents.select("doc_id", F.size(some).cast("long").alias("n"), joined(some).alias("sentences"))
 
 
 @query("t12_sentence_candidates")
@@ -156,16 +157,15 @@ def lines(t: Tables):
     return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("t25_labels", f"SELECT doc_id, pos, nullif(regexp_extract(trim(line), '^\\s*(\\d+(?:\\.\\d+)*)\\s', 1), '') AS section, CASE WHEN regexp_matches(trim(line), '^\\(\\d+\\)\\s*$') THEN 'eq' || regexp_extract(trim(line), '^\\((\\d+)\\)', 1) END AS equation FROM {LINES} WHERE regexp_matches(line, '^\\s*[\\d(]')")
+@query("t25_labels", f"SELECT doc_id, pos, nullif(regexp_extract(trim(line), '^\\s*(\\d+(?:\\.\\d+)*)\\s', 1), '') AS section, CASE WHEN regexp_matches(trim(line), '^\\(\\d+\\)\\s*$') THEN 'eq' || regexp_extract(trim(line), '^\\((\\d+)\\)', 1) END AS equation FROM {LINES}")
 def t25(t: Tables):
-    some = lines(t).where(F.col("line").rlike(r"^\s*[\d(]"))
     label = T.numbered_label(F.col("line"))
-    return some.select("doc_id", "pos", T.section_number(F.col("line")).alias("section"), F.when(label.startswith("eq"), label).alias("equation"))
+    return lines(t).select("doc_id", "pos", T.section_number(F.col("line")).alias("section"), F.when(label.startswith("eq"), label).alias("equation"))
 
 
-@query("t26_anchor_labels", f"SELECT doc_id, pos, CASE WHEN regexp_matches(trim(line), '(?i)^abstract') THEN 'abstract' WHEN regexp_matches(trim(line), '^\\s*\\d+(?:\\.\\d+)*\\s') THEN 'sec' || regexp_extract(trim(line), '^\\s*(\\d+(?:\\.\\d+)*)\\s', 1) END AS label FROM {LINES} WHERE length(line) < 40")
+@query("t26_anchor_labels", f"SELECT doc_id, pos, CASE WHEN regexp_matches(trim(line), '(?i)^abstract') THEN 'abstract' WHEN regexp_matches(trim(line), '^\\s*\\d+(?:\\.\\d+)*\\s') THEN 'sec' || regexp_extract(trim(line), '^\\s*(\\d+(?:\\.\\d+)*)\\s', 1) END AS label FROM {LINES}")
 def t26(t: Tables):
-    return lines(t).where(F.length("line") < 40).select("doc_id", "pos", T.anchor_label(F.lit("section"), F.col("line")).alias("label"))
+    return lines(t).select("doc_id", "pos", T.anchor_label(F.lit("section"), F.col("line")).alias("label"))
 
 
 TOPIC_SQL = " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for n, p in T.TOPICS)
@@ -177,10 +177,11 @@ def t34(t: Tables):
 
 
 @query("t35_focus_terms", f"""
-    SELECT doc_id, array_to_string([x FOR x IN list_filter([trim(source), trim(lang), trim(upper(lang)), 'Design', trim({TITLE.format('text')})], lambda x: length(x) > 0 AND lower(x) NOT IN ('design')) IF true][1:2], '|') AS first_two FROM documents""")
+    WITH c AS (SELECT doc_id, list_filter([trim(source), trim(lang), trim(upper(lang)), 'Design', trim({TITLE.format('text')})], lambda x: length(x) > 0 AND lower(x) NOT IN ('design')) AS terms FROM documents)
+    SELECT doc_id, array_to_string(list_filter(terms, lambda x, i: list_position(list_transform(terms, lambda y: lower(y)), lower(x)) = i)[1:3], '|') AS first_three FROM c""")
 def t35(t: Tables):
     some = F.array("source", "lang", F.upper("lang"), F.lit("Design"), title())
-    return t.documents.select("doc_id", joined(F.slice(T.focus_terms(some), 1, 2)).alias("first_two"))
+    return t.documents.select("doc_id", joined(T.focus_terms(some)).alias("first_three"))
 
 
 @query("h44_topic_label", f"SELECT doc_id, (CASE {TOPIC_SQL} ELSE '{T.OTHER_TOPIC}' END) || ' · ' || source AS label FROM documents")

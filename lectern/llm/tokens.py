@@ -36,12 +36,13 @@ def _split_words(words: pa.Array) -> tuple[pa.Array, pa.Array]:
 
 
 class Encoder:
-    """``encode`` gives the ids of texts; at most ``limit`` pieces or ``chars`` characters stay cached between calls.
+    """``encode`` gives the ids of texts; at most ``limit`` pieces or ``chars`` characters stay cached between slices:
+    beyond, the pieces that were used in one slice only go, and if that is not half of them the less used ones too.
 
     A text that holds the string of an added token (``<|endoftext|>``) goes to the library whole, which gives that
     token's id; all others are cut."""
 
-    def __init__(self, path: str, cut: str, limit: int = 120_000, chars: int = 2 << 20):
+    def __init__(self, path: str, cut: str, limit: int = 600_000, chars: int = 10 << 20):
         from tokenizers import Tokenizer
 
         if cut not in ("words", "spaces"):
@@ -55,7 +56,22 @@ class Encoder:
 
     def _clear(self):
         self.pieces, self.held, self.used = {"": 0}, 0, 0
-        self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.starts, self.lengths, self.uses = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _shrink(self):
+        names, n = list(self.pieces), len(self.pieces)  # in the order of their places
+        order = np.argsort(-self.uses[:n], kind="stable")
+        order = order[(self.uses[order] > 1) & (order > 0)][: self.limit // 2]
+        order = order[np.cumsum([len(names[k]) for k in order.tolist()]) <= self.chars // 2] if len(order) else order
+        lengths, starts, flat = self.lengths[order], self.starts[order], self.flat
+        self._clear()
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        self.flat = flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)] if total else self.flat
+        self.flat = np.concatenate([self.flat, np.zeros(1 << 16, np.uint32)])
+        self.starts, self.lengths, self.uses = (np.concatenate([[0], x, np.zeros(1 << 14, np.int64)]) for x in (ends - lengths, lengths, np.ones(len(order), np.int64)))
+        self.pieces.update((names[k], i + 1) for i, k in enumerate(order.tolist()))
+        self.held, self.used = sum(map(len, self.pieces)), total
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Where distinct pieces stand in the store; new ones are encoded."""
@@ -72,13 +88,15 @@ class Encoder:
                 while self.used + len(flat) > len(self.flat):
                     self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
                 while first + len(new) > len(self.starts):
-                    self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+                    self.starts, self.lengths, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.uses))
                 self.flat[self.used : self.used + len(flat)] = flat
                 here = slice(first + lo, first + lo + len(some))
                 self.lengths[here], self.starts[here] = lengths, self.used + np.cumsum(lengths) - lengths
                 self.used += len(flat)
             self.held += sum(map(len, new))
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        places = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        self.uses[places] += 1
+        return places
 
     def _table(self, *columns: pa.Array) -> list[np.ndarray]:
         """The places of each column's pieces."""
@@ -149,7 +167,7 @@ class Encoder:
         slot = np.cumsum(pc.binary_length(texts).to_numpy()) // SLICE_BYTES
         for lo, hi in zip(first := np.flatnonzero(np.diff(slot, prepend=-1)), [*first[1:], len(slot)]):
             if len(self.pieces) > self.limit or self.held > self.chars:
-                self._clear()
+                self._shrink()
             ids, counts = (self._words if self.cut == "words" else self._spaces)(pa.concat_arrays([texts.slice(lo, hi - lo)]))  # some string kernels misread arrays with an offset
             yield from np.split(ids, np.cumsum(counts)[:-1])
 

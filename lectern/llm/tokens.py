@@ -24,7 +24,9 @@ LATIN, TAIL = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?$%&*#|()"
 WORD = f"^(?P<core>[{LATIN}]+)(?P<tail>[{TAIL}]*)$"
 EDGE = f"^[{WHITE}]|[{WHITE}]$|^$"
 SPACES = re.compile(f" [^{WHITE}]+|[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+")
-SLICE_BYTES = 2 << 20
+#: For each cut: bytes of text encoded at once, pieces and characters cached. Byte-level pieces are more, as they keep
+#: case and blanks, and each costs the library more.
+ROOM = {"words": (2 << 20, 400_000, 6 << 20), "spaces": (8 << 20, 1_200_000, 16 << 20)}
 
 
 def _split_words(words: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -42,7 +44,7 @@ class Encoder:
     A text that holds the string of an added token (``<|endoftext|>``) goes to the library whole, which gives that
     token's id; all others are cut."""
 
-    def __init__(self, path: str, cut: str, limit: int = 600_000, chars: int = 10 << 20):
+    def __init__(self, path: str, cut: str, limit: int | None = None, chars: int | None = None, slice_bytes: int | None = None):
         from tokenizers import Tokenizer
 
         if cut not in ("words", "spaces"):
@@ -51,7 +53,8 @@ class Encoder:
         # those that stand for themselves in a raw text; others are looked for in a normalised one, so in any case
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [(t.content, t.normalized) for t in added]
-        self.cut, self.limit, self.chars = cut, limit, chars
+        room = ROOM[cut]
+        self.cut, self.slice_bytes, self.limit, self.chars = cut, slice_bytes or room[0], limit or room[1], chars or room[2]
         self._clear()
 
     def _clear(self):
@@ -164,7 +167,7 @@ class Encoder:
             yield from self._cut_texts(texts)
 
     def _cut_texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        slot = np.cumsum(pc.binary_length(texts).to_numpy()) // SLICE_BYTES
+        slot = np.cumsum(pc.binary_length(texts).to_numpy()) // self.slice_bytes
         for lo, hi in zip(first := np.flatnonzero(np.diff(slot, prepend=-1)), [*first[1:], len(slot)]):
             if len(self.pieces) > self.limit or self.held > self.chars:
                 self._shrink()

@@ -287,15 +287,14 @@ def test_crc_is_of_unsigned_ids(docs):
     assert r.c == zlib.crc32(r.ids)
 
 
-def test_slices_of_batches(rows, monkeypatch):
+def test_slices_of_batches(rows):
     import pyarrow as pa
 
     from lectern.llm import tokens
 
     texts = pa.array([t for _, t in rows] * 3)
     for name, cut, end in (("word_bpe_49k.json", "words", 1), ("byte_bpe_50k.json", "spaces", 2)):
-        monkeypatch.setattr(tokens, "SLICE_BYTES", 1000)
-        got = [list(x) for x in tokens.Encoder(tokenizer_path(name), cut, limit=50).encode(texts)]
+        got = [list(x) for x in tokens.Encoder(tokenizer_path(name), cut, limit=50, slice_bytes=1000).encode(texts)]
         assert got == [ids[:-1] for _, ids in expected_ids(rows, name, end)] * 3
     fps = [simhash._fingerprints(pa.concat_arrays([texts.slice(k, 7)]), 3).tolist() for k in range(0, len(texts), 7)]
     assert sum(fps, []) == [brute_fingerprint(t) for _, t in rows] * 3

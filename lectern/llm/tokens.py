@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ EDGE = f"^[{WHITE}]|[{WHITE}]$|^$"
 SPACES = re.compile(f" [^{WHITE}]+|[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+")
 #: For each cut: bytes of text encoded at once, pieces and characters cached. Byte-level pieces are more, as they keep
 #: case and blanks, and each costs the library more.
-ROOM = {"words": (2 << 20, 400_000, 6 << 20), "spaces": (8 << 20, 1_200_000, 16 << 20)}
+ROOM = {"words": (4 << 20, 800_000, 12 << 20), "spaces": (8 << 20, 1_200_000, 16 << 20)}
 
 
 def _split_words(words: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -79,15 +80,17 @@ class Encoder:
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Where distinct pieces stand in the store; new ones are encoded."""
         known = self.pieces
-        new = [p for p in pieces if p not in known]
-        if new:
-            first = len(known)
+        places = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        fresh = np.flatnonzero(places < 0)
+        if len(fresh):
+            first, new = len(known), [pieces[k] for k in fresh.tolist()]
+            places[fresh] = np.arange(first, first + len(new))
             known.update(zip(new, range(first, first + len(new)), strict=True))
             for lo in range(0, len(new), 10_000):
                 some = new[lo : lo + 10_000]
                 ids = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
                 lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.array([i for x in ids for i in x], np.uint32)
+                flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
                 while self.used + len(flat) > len(self.flat):
                     self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
                 while first + len(new) > len(self.starts):
@@ -97,7 +100,6 @@ class Encoder:
                 self.lengths[here], self.starts[here] = lengths, self.used + np.cumsum(lengths) - lengths
                 self.used += len(flat)
             self.held += sum(map(len, new))
-        places = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
         self.uses[places] += 1
         return places
 

@@ -58,26 +58,30 @@ class Coder:
 
     def __init__(self, symbols: np.ndarray, freq: np.ndarray):
         self.symbols, self.freq = symbols.astype(np.uint32), freq.astype(np.uint32)
-        self.cum = (np.cumsum(freq, dtype=np.uint64) - freq).astype(U64)
-        self.slots = None
+        self.wide = self.freq.astype(U64)
+        self.cum = np.cumsum(self.wide) - self.wide
+        self.slots = self.places = None
 
     def encode(self, ids: np.ndarray) -> list[bytes]:
         """One bytes object a block of up to BLOCK ids; the last one is filled up with the table's first symbol."""
-        place = np.searchsorted(self.symbols, ids)
+        if self.places is None:  # symbols are a vocabulary's: a place for each number up to the largest
+            self.places = np.zeros(int(self.symbols[-1]) + 1 if len(self.symbols) else 0, np.int32)
+            self.places[self.symbols] = np.arange(len(self.symbols), dtype=np.int32)
         blocks = -(-len(ids) // BLOCK)
-        place = np.concatenate([place, np.zeros(blocks * BLOCK - len(ids), place.dtype)]).reshape(blocks, STEPS, LANES)
+        place = np.zeros(blocks * BLOCK, np.int32)
+        place[: len(ids)] = self.places[ids]
+        place = place.reshape(blocks, STEPS, LANES)
         out = []
         for first in range(0, blocks, AT_ONCE):
             some = place[first : first + AT_ONCE]
             state = np.full((len(some), LANES), LOW, U64)
             words, sent = np.zeros(some.shape, np.uint32), np.zeros(some.shape, bool)
             for t in range(STEPS - 1, -1, -1):
-                f, c = self.freq[some[:, t]].astype(U64), self.cum[some[:, t]]
+                f, c = self.wide[some[:, t]], self.cum[some[:, t]]
                 full = state >= f << U64(63 - BITS)
-                words[:, t], sent[:, t] = state.astype(np.uint32), full
+                words[:, t], sent[:, t] = state, full
                 state = np.where(full, state >> U64(32), state)
-                q = state // f
-                state = (q << U64(BITS)) + (state - q * f) + c
+                state += state // f * (U64(1 << BITS) - f) + c  # quotient << BITS, and the remainder
             out += [state[b].astype("<u8").tobytes() + words[b][sent[b]].astype("<u4").tobytes() for b in range(len(some))]
         return out
 
@@ -94,9 +98,9 @@ class Coder:
             words = np.concatenate([*bodies, np.zeros(1, np.uint32)]).astype(U64)
             for t in range(STEPS):
                 slot = state & U64((1 << BITS) - 1)
-                place = self.slots[slot.astype(np.int64)]
+                place = self.slots[slot.view(np.int64)]
                 out[first : first + len(some), t] = place
-                state = self.freq[place].astype(U64) * (state >> U64(BITS)) + slot - self.cum[place]
+                state = self.wide[place] * (state >> U64(BITS)) + slot - self.cum[place]
                 need = state < LOW
                 ahead = np.cumsum(need, axis=1)
                 take = words[np.minimum(at + ahead - 1, len(words) - 1)]

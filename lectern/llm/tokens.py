@@ -106,7 +106,7 @@ class Encoder:
     def _table(self, *columns: pa.Array) -> list[np.ndarray]:
         """The places of each column's pieces."""
         every = pa.concat_arrays(columns).dictionary_encode()
-        places = self._places(every.dictionary.to_pylist())[every.indices.to_numpy()]
+        places = self._places(every.dictionary.to_numpy(zero_copy_only=False).tolist())[every.indices.to_numpy()]
         return np.split(places, np.cumsum([len(c) for c in columns])[:-1])
 
     def _gather(self, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

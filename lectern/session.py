@@ -29,7 +29,7 @@ def build(app: str = "lectern", master: str | None = None, **conf: str) -> Spark
     return prepare(builder.getOrCreate())
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, batch_bytes: int = 16 << 20) -> SparkSession:
     """Let Python workers import this package (one started from another folder too), and bound Arrow batches.
 
     A cluster gets the package by ``--py-files``; the path below only matters where the driver's disk is visible.
@@ -38,7 +38,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return spark
 
 

@@ -14,10 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, prepare
 from .tokens import part_bases, token_table, unpack
 from .workers import tidy
 
+#: Bytes of an Arrow batch, on both sides: several slices of the encoder.
+BATCH_BYTES = 4 << 20
+
 
 def pack(docs: DataFrame, path: str, cut: str = "words", end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents: id, start, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id,
@@ -28,7 +31,7 @@ def pack(docs: DataFrame, path: str, cut: str = "words", end_id: int = 1, length
     of two, else ``length``). Rows with the same or a null id are documents of their own. An empty table has no piece. Of the table
     only these two columns are read: others may have any names, those of the result too.
     """
-    spark = docs.sparkSession
+    spark = prepare(docs.sparkSession, BATCH_BYTES)
     tokens = durable(token_table(docs, id_col, text_col, path, cut, end_id), "pack-ids")
     bases = spark.sparkContext.broadcast(part_bases(tokens))  # 12 bytes a partition
     kind = docs.schema[id_col].dataType.simpleString()

@@ -25,11 +25,13 @@ def release() -> None:
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run``, a function for ``mapInArrow``, with a release at its end."""
+    """``run``, a function for ``mapInArrow``, with a release after each batch and at its end."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            for out in run(batches):
+                yield out
+                release()
         finally:
             release()
 

@@ -32,7 +32,7 @@ def pack(docs: DataFrame, path: str, cut: str = "words", end_id: int = 1, length
     only these two columns are read: others may have any names, those of the result too.
     """
     spark = prepare(docs.sparkSession, BATCH_BYTES)
-    tokens = durable(token_table(docs, id_col, text_col, path, cut, end_id), "pack-ids")
+    tokens = durable(token_table(docs, id_col, text_col, path, cut, end_id, release_each=True), "pack-ids")
     bases = spark.sparkContext.broadcast(part_bases(tokens))  # 12 bytes a partition
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -60,7 +60,7 @@ def pack(docs: DataFrame, path: str, cut: str = "words", end_id: int = 1, length
                 names=[id_col, "start", "ids", "doc_tokens", "sequence_id", "offset", "padded_to"],
             )
 
-    return tokens.mapInArrow(tidy(run), f"`{id_col}` {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long")
+    return tokens.mapInArrow(tidy(run, each=True), f"`{id_col}` {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

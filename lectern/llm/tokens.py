@@ -194,10 +194,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def token_table(docs, id_col: str, text_col: str, path: str, cut: str, end_id: int):
+def token_table(docs, id_col: str, text_col: str, path: str, cut: str, end_id: int, release_each: bool = False):
     """(id, ids, n, part, before): each document's ids and the end id, as little-endian 16-bit or 32-bit integers, and
     the ids that its partition holds before it. Rows keep their order; null text is empty. Only the two
-    columns are read, whatever others are called; an empty table gives no row."""
+    columns are read, whatever others are called; an empty table gives no row. ``release_each``: see ``workers.tidy``."""
     from pyspark import TaskContext
 
     from .workers import tidy
@@ -215,7 +215,7 @@ def token_table(docs, id_col: str, text_col: str, path: str, cut: str, end_id: i
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(ahead, pa.int64()), pa.array([wide] * len(n), pa.bool_())], names=[id_col, "ids", "n", "part", "before", "wide"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids binary, n long, part int, before long, wide boolean")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run, release_each), f"`{id_col}` {kind}, ids binary, n long, part int, before long, wide boolean")
 
 
 def unpack(raw: bytes, wide: bool) -> np.ndarray:

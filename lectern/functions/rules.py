@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import technical_tokens
+
 # Names of errors, spellings of numbered labels.
 SPLIT_ERRORS = ["DeepSeekOutputLimitError", "DeepSeekProtocolError", "TranslationValidationError"]
 NUMBERED = r"(?i)\b(fig(?:ure)?|table|algorithm|code)\s*\.?\s*(\d+(?:[.-]\d+)*|[IVXLCDM]+)\b"
@@ -49,3 +51,44 @@ def exact_mapping(expected: Column, groups: Column) -> Column:
     group lacks sources or has an empty or blank target."""
     broken = F.exists(groups, lambda g: (F.size(g["src"]) == 0) | (F.size(g["dst"]) == 0) | F.exists(g["dst"], lambda x: F.trim(x) == ""))
     return (F.flatten(F.transform(groups, lambda g: g["src"])) == expected) & ~broken
+
+
+def _plain(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\s\u3000]+", " "))
+
+
+def valid_spans(left: Column, right: Column, spans: Column) -> Column:
+    """Of ``spans`` (structs of left and right) those whose sides are both found in their text, in lower case and with
+    single blanks; the first of equal ones, in the order of their left sides (by code points). Empty sides are none."""
+    plain = F.transform(F.coalesce(spans, F.array().cast("array<struct<left:string,right:string>>")), lambda s: F.struct(_plain(s["left"]).alias("a"), _plain(s["right"]).alias("b"), s["left"].alias("left"), s["right"].alias("right")))
+    found = F.filter(plain, lambda s: (s["a"] != "") & (s["b"] != "") & F.contains(_plain(left), s["a"]) & F.contains(_plain(right), s["b"]))
+    key = F.transform(found, lambda s: F.concat(s["a"], F.lit("|"), s["b"]))
+    once = F.filter(F.transform(found, lambda s, i: F.struct(s["a"].alias("a"), i.alias("i"), s["left"].alias("left"), s["right"].alias("right"))), lambda x: F.array_position(key, F.element_at(key, x["i"] + 1)) == x["i"] + 1)
+    return F.transform(F.array_sort(once), lambda s: F.struct(s["left"].alias("left"), s["right"].alias("right")))
+
+
+def continue_entry(entry: Column, line: Column) -> Column:
+    """A bibliography entry and its next line: a word's hyphen goes, one before digits stays, addresses go on without a
+    blank, all else gets one."""
+    url = F.regexp_extract(entry, r"(?i)https?://\S+$", 0)
+    goes_on = (url.rlike(r"[./:]$") & line.rlike(r"^[A-Za-z0-9/?#]")) | (entry.rlike(r"(?i)https?:$") & line.startswith("//"))
+    cut = entry.endswith("-") & line.rlike("^[a-z]")
+    return F.when(cut, F.concat(F.left(entry, F.length(entry) - 1), line)).when((entry.endswith("-") & line.rlike(r"^\d")) | goes_on, F.concat(entry, line)).otherwise(F.concat(entry, F.lit(" "), line))
+
+
+# What a term of a query is searched by besides.
+EXPANSIONS = {
+    "chiplet": ["die-to-die", "ucie", "2.5d", "3d-integration", "advanced-packaging"],
+    "tsv": ["through-silicon-via", "thermal", "3d-integration"],
+    "eda": ["placement", "routing", "verification", "synthesis"],
+    "cmos": ["mosfet", "vlsi", "integrated-circuit"],
+}
+
+
+def expanded_query(query: Column, extra: Column | None = None, expansions: dict[str, list[str]] = EXPANSIONS) -> Column:
+    """The query, its technical tokens, each followed by its expansions, and ``extra`` terms (an array, null for none):
+    the distinct ones joined by blanks."""
+    others = F.create_map(*[x for k, v in expansions.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    none = F.array().cast("array<string>")
+    own = F.flatten(F.transform(technical_tokens(query), lambda t: F.concat(F.array(t), F.coalesce(F.element_at(others, t), none))))
+    return F.array_join(F.array_distinct(F.concat(F.array(F.coalesce(query, F.lit(""))), own, none if extra is None else F.coalesce(extra, none))), " ")

@@ -8,6 +8,28 @@ from pyspark.sql import functions as F
 # Headings that open and close a bibliography.
 OPENS = r"(?iu)^\s*(?:\d+[. ]\s*)?(?:references|bibliography|参考文献)\s*(?=$|\[)"
 CLOSES = r"(?iu)^\s*(?:(?:[A-Z]|\d+)[. ]\s*)?(?:appendix(?:\s+[A-Z])?|appendices|author biographies|acknowledg(?:e)?ments|附录)\s*$"
+# Lines of publishers. A permission notice goes on until a line with a DOI's address.
+NOTES = r"(?i)^(?:Corresponding author\s*:|[*∗†‡]\s*This paper (?:has been|was) accepted\b)"
+PERMISSION = r"(?i)^Permission to make (?:digital or hard|digital|hard) copies\b"
+PERMISSION_ENDS = r"(?i)\bdoi\.org/"
+IMPRINTS = r"(?i)^(?:(?:©\s*)?\d{4}\s+Copyright\b|ACM ISBN\b|https?://doi\.org/|DAC\s*[’']?\d{2}\s*,\s*(?:June|July|August)\b)"
+
+
+def without_publisher_lines(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
+    """(doc, text): each document's lines but those of its publisher, joined by newlines and trimmed.
+
+    A notice of permission goes from its first line to the next one with a DOI's address, both included, or to the end.
+    Null lines are empty; a document without other lines has an empty text. A window holds one document."""
+    text = F.coalesce(F.col(line), F.lit(""))
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    note, opens = bare.rlike(NOTES), bare.rlike(PERMISSION)
+    state = F.when(note, None).when(opens, True).when(bare.rlike(PERMISSION_ENDS), False)
+    before = F.last(state, ignorenulls=True).over(Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1))
+    drop = note | opens | F.coalesce(before, F.lit(False)) | bare.rlike(IMPRINTS)
+    rows = lines.select(doc, pos, F.when(~drop, text).alias("__line"), drop.alias("__drop"))
+    kept = F.sort_array(F.collect_list(F.when(~F.col("__drop"), F.struct(pos, "__line"))))
+    joined = rows.groupBy(doc).agg(kept.alias("__rows"))
+    return joined.select(doc, F.regexp_replace(F.array_join(F.transform("__rows", lambda r: r["__line"]), "\n"), r"^\s+|\s+$", "").alias("text"))
 
 
 def bibliography(lines: DataFrame, doc: str, page: str, pos: str, line: str) -> DataFrame:

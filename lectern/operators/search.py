@@ -88,6 +88,26 @@ def snippets(docs: DataFrame, terms: Sequence[str], most: int = 3, id_col: str =
     return rows.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+def candidates(found: DataFrame, docs: DataFrame, most: int = 50, id_col: str = "doc_id") -> DataFrame:
+    """(id, score): the ``most`` best rows of ``found`` (id, score; ties by id). Where nothing was found, the first
+    ``most`` of ``docs`` (id, ord) instead, with scores that fall from 1 by an equal step. Both are top-k reports."""
+    top = found.select(id_col, "score").orderBy(F.desc("score"), id_col).limit(most)
+    first = docs.select(id_col, "ord").orderBy("ord", id_col).limit(most)
+    place = F.row_number().over(Window.orderBy("ord", id_col)) - 1  # over ``most`` rows
+    rest = first.select(id_col, (1 - place / most).alias("score")).join(top.limit(1).select(F.lit(1).alias("__hit")), F.lit(True), "left_anti")
+    return top.unionByName(rest)
+
+
+def evidence(found: DataFrame, docs: DataFrame, terms: Sequence[str], results: int = 6, each: int = 2, most: int = 8, id_col: str = "doc_id") -> DataFrame:
+    """(place, id, title, page, hits, snippet): the sources of an answer. ``each`` snippets of the ``results`` best rows
+    of ``found`` (id, score; ties by id), in this order the first ``most``; of no result none."""
+    best = found.select(id_col, "score").orderBy(F.desc("score"), id_col).limit(results)
+    texts = docs.join(F.broadcast(best.select(id_col)), id_col, "left_semi")  # ``results`` ids
+    rows = snippets(texts, terms, each, id_col).join(texts.select(id_col, "title"), id_col).join(best, id_col)
+    place = F.row_number().over(Window.orderBy(F.desc("score"), id_col, "rank"))  # over results * each rows
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("place", id_col, "title", "page", "hits", "snippet")
+
+
 def recency(year: Column, as_of: int, half_life: float = 5.0) -> Column:
     return F.coalesce(F.pow(F.lit(0.5), F.greatest(F.lit(0), as_of - year) / (half_life or 5.0)), F.lit(0.0))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Headings that open and close a bibliography.
 OPENS = r"(?iu)^\s*(?:\d+[. ]\s*)?(?:references|bibliography|参考文献)\s*(?=$|\[)"
 CLOSES = r"(?iu)^\s*(?:(?:[A-Z]|\d+)[. ]\s*)?(?:appendix(?:\s+[A-Z])?|appendices|author biographies|acknowledg(?:e)?ments|附录)\s*$"
@@ -53,3 +55,15 @@ def chapters(blocks: DataFrame, doc: str, order: str, text: str, heads: Column,
     rows = blocks.select(doc, order, text, F.coalesce(heads, F.lit(False)).alias("__head"), number.alias("chapter")).where("chapter > 0 and not __head")
     rows = rows.groupBy(doc, "chapter").agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.coalesce(F.col(text), F.lit("")).alias("__text")))).alias("__rows"))
     return rows.select(doc, "chapter", F.left(F.array_join(F.transform("__rows", lambda r: r["__text"]), "\n"), F.lit(most)).alias("text")).where(F.regexp_replace("text", r"\s", "") != "")
+
+
+def anchors(blocks: DataFrame, doc: str = "doc", block: str = "block", kind: str = "kind", text: str = "text", caption: str = "caption", order: str = "ord") -> DataFrame:
+    """(doc, label, kind, block, ord, text): blocks that two languages share by their label (sec1.1, fig3, tab2, ...).
+    Headings are of kind section, all others captions; a block without a text is read by its caption, one without a label
+    gives no row."""
+    shown = F.coalesce(F.when(F.col(text) != "", F.col(text)), F.col(caption), F.lit(""))
+    section = F.coalesce(F.col(kind) == "section", F.lit(False))
+    label = T.anchor_label(F.when(section, "section").otherwise("caption"), shown)
+    bare = F.regexp_replace(shown, r"^\s+|\s+$", "")
+    rows = blocks.select(F.col(doc).alias("doc"), label.alias("label"), F.when(section, "section").otherwise("caption").alias("kind"), F.col(block).alias("block"), F.col(order).alias("ord"), bare.alias("text"))
+    return rows.where("label IS NOT NULL")

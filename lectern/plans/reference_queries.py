@@ -67,3 +67,15 @@ def u03(t: Tables):
     rows = t.conversations.select("role", "turn").distinct()
     asked = F.concat_ws(" ", F.lit("tsv"), "role", F.col("turn").cast("string"))
     return rows.select("role", "turn", R.expanded_query(asked, F.array(F.lit("more"), F.lit("thermal"))).alias("expanded"))
+
+
+@query("k11_anchors", f"""WITH l AS (SELECT doc_id, pos, line, CASE WHEN regexp_matches(trim(line), '(?i)^abstract') THEN 'abstract' WHEN regexp_matches(trim(line), '^\\d+(?:\\.\\d+)*\\s') THEN 'sec' || regexp_extract(trim(line), '^(\\d+(?:\\.\\d+)*)\\s', 1) END AS label FROM {LINES})
+    SELECT doc_id AS doc, CASE WHEN pos % 5 = 3 THEN 'fig' || pos ELSE label END AS label, CASE WHEN pos % 5 = 3 THEN 'caption' ELSE 'section' END AS kind, pos AS block FROM l WHERE pos % 5 = 3 OR label IS NOT NULL""")
+def k11(t: Tables):
+    """Lines as headings; every fifth one is a figure that has only a caption."""
+    figure = F.col("pos") % 5 == 3
+    rows = DERIVED["lines"][0](t).select(
+        F.col("doc_id").alias("doc"), F.col("pos").cast("long").alias("block"), F.col("pos").alias("ord"), F.when(figure, "figure").otherwise("section").alias("kind"),
+        F.when(~figure, F.col("line")).alias("text"), F.when(figure, F.concat(F.lit(" Figure "), F.col("pos").cast("string"), F.lit(": x "))).alias("caption"),
+    )
+    return sections.anchors(rows).select("doc", "label", "kind", "block")

@@ -68,6 +68,28 @@ def w01(t: Tables):
     return search.snippets(papers(t), QUERY.split())
 
 
+@query("l04_candidates", f"""WITH {PAPERS}, hits AS (SELECT 'hit' AS asked, doc_id, round(bm25, 6) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 50),
+    firsts AS (SELECT 'none' AS asked, doc_id, round(1 - (row_number() OVER (ORDER BY doc_id) - 1) / 50, 6) AS score FROM documents ORDER BY doc_id LIMIT 50) SELECT * FROM hits UNION ALL SELECT * FROM firsts""")
+def l04(t: Tables):
+    """A query that finds documents, and one of no word in any."""
+    docs, order = papers(t), t.documents.select("doc_id", F.col("doc_id").alias("ord"))
+    found = [search.bm25(docs, q).select("doc_id", F.round("bm25", 6).alias("score")) for q in (QUERY, "zzqxj0")]
+    hit, none = (search.candidates(f, order) for f in found)
+    return hit.select(F.lit("hit").alias("asked"), "doc_id", "score").unionByName(none.select(F.lit("none").alias("asked"), "doc_id", F.round("score", 6).alias("score")))
+
+
+@query("l05_evidence_sources", f"""WITH {PAPERS}, best AS (SELECT doc_id, round(bm25, 6) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 6),
+    p AS (SELECT doc_id, score, ls[1] AS title, unnest(range(1, greatest(1, CAST(ceil(len(ls) / 20) AS BIGINT)) + 1)) AS page, ls FROM (SELECT doc_id, score, string_split(text, chr(10)) AS ls FROM best JOIN documents USING (doc_id))),
+    h AS (SELECT doc_id, score, title, page, len(list_intersect(['attion', 'ertion', 'retion'], {TOK.format("array_to_string(ls[(page - 1) * 20 + 1 : page * 20], chr(10))")})) AS hits FROM p),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, page) AS nth FROM h WHERE hits > 0),
+    o AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id, nth) AS place, doc_id, title, page, hits FROM r WHERE nth <= 2) SELECT * FROM o WHERE place <= 8""")
+def l05(t: Tables):
+    docs = papers(t)
+    found = search.bm25(docs, QUERY).select("doc_id", F.round("bm25", 6).alias("score"))
+    rows = search.evidence(found, docs, QUERY.split())
+    return rows.select(*(F.col(c).cast("long").alias(c) for c in ("place", "doc_id", "page", "hits")), "title")
+
+
 @query("t36_linear_score", "SELECT event_id, round(0.4 * v + 0.3 * (1 - v) + 0.15 * v + 0.1 * (v / 2) + 0.05, 6) AS score FROM (SELECT event_id, value / 1000 AS v FROM events)")
 def t36(t: Tables):
     v = F.col("value") / 1000

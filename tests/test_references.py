@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lectern.functions import rules as R
-from lectern.operators import sections
+from lectern.operators import search, sections
 from lectern.operators.references import match_references
 
 REFS, PAPERS = "ref int, owner int, title string, doi string", "paper int, title string, doi string, ord int"
@@ -77,3 +77,26 @@ def test_queries_expand(spark):
     assert one(spark, R.expanded_query(F.lit("TSV x"))) == "TSV x tsv through-silicon-via thermal 3d-integration x"
     assert one(spark, R.expanded_query(F.lit("x"), F.array(F.lit("y"), F.lit("x")))) == "x y"
     assert one(spark, R.expanded_query(F.lit(None).cast("string"), F.lit(None).cast("array<string>"))) == ""
+
+
+def test_candidates_fall_back_to_the_first(spark):
+    docs = spark.createDataFrame([(k, 10 - k) for k in range(5)], "doc_id int, ord int")
+    found = spark.createDataFrame([(1, 2.0), (3, 2.0), (0, 5.0), (4, 1.0)], "doc_id int, score double")
+    assert [tuple(r) for r in search.candidates(found, docs, 3).orderBy(F.desc("score"), "doc_id").collect()] == [(0, 5.0), (1, 2.0), (3, 2.0)]
+    assert [tuple(r) for r in search.candidates(found.limit(0), docs, 4).orderBy(F.desc("score")).collect()] == [(4, 1.0), (3, 0.75), (2, 0.5), (1, 0.25)]
+    assert search.candidates(found.limit(0), docs.limit(0)).count() == 0
+
+
+def test_evidence_takes_the_best_pages_of_the_best(spark):
+    rows = [(k, f"t{k}", ["none", f"alpha beta {k}", "alpha", "beta and alpha"]) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id int, title string, pages array<string>")
+    found = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 3.0), (3, 0.5)], "doc_id int, score double")
+    got = search.evidence(found, docs, ["alpha", "beta"], results=3, each=2, most=5).orderBy("place").collect()
+    assert [(r.place, r.doc_id, r.title, r.page, r.hits) for r in got] == [(1, 1, "t1", 2, 2), (2, 1, "t1", 4, 2), (3, 2, "t2", 2, 2), (4, 2, "t2", 4, 2), (5, 0, "t0", 2, 2)]
+    assert got[0].snippet == "alpha beta 1" and search.evidence(found.limit(0), docs, ["alpha"]).count() == 0
+
+
+def test_anchors_are_labelled_blocks(spark):
+    rows = [(1, "a", "section", "1.2 Methods ", None, 0), (1, "b", "figure", "", "Fig. 3 x", 1), (1, "c", "table", None, "Table 2", 2), (1, "d", "section", "Plain words", None, 3), (1, "e", None, None, None, 4), (1, "f", "paragraph", "图 4", "Table 9", 5)]
+    got = sections.anchors(spark.createDataFrame(rows, "doc int, block string, kind string, text string, caption string, ord int"))
+    assert sorted((r.block, r.label, r.kind, r.text) for r in got.collect()) == [("a", "sec1.2", "section", "1.2 Methods"), ("b", "fig3", "caption", "Fig. 3 x"), ("c", "tab2", "caption", "Table 2"), ("f", "fig4", "caption", "图 4")]

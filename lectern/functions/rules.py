@@ -92,3 +92,39 @@ def expanded_query(query: Column, extra: Column | None = None, expansions: dict[
     none = F.array().cast("array<string>")
     own = F.flatten(F.transform(technical_tokens(query), lambda t: F.concat(F.array(t), F.coalesce(F.element_at(others, t), none))))
     return F.array_join(F.array_distinct(F.concat(F.array(F.coalesce(query, F.lit(""))), own, none if extra is None else F.coalesce(extra, none))), " ")
+
+
+# Numbers of headings. Decimal ones, Roman ones (alone only I, V and X), letters with a dot.
+HEADING = r"(^|\s)(?:(\d{1,2}(?:\.\d{1,2}){0,2})\.?|([IVXLCDM]{2,8}|[IVX])\.?|([A-Z])\.)\s+(?=[A-Za-zÀ-ɏ㐀-鿿])"
+HEADING_NUMBER = r"^\s*(\d+(?:\.\d+)*)\b"
+BEGIN, FIELD, BODY = "\ue000", "\ue001", "\ue002"  # private characters mark the parts; those of a source go
+
+
+def heading_parts(source: Column) -> Column:
+    """The headings of a block, array of (number, level, text): '2 Background 2.1 Motivation' holds two. A block that does
+    not begin with a number is one heading of level 1 without a number; a null or blank one has none. Decimal numbers have
+    a level by their dots, 3 at most, letters 2, Roman numbers 1; a number without a text is left out."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(source, F.lit("")), f"[\r{BEGIN}{FIELD}{BODY}]", ""), "[ \t]+", " "))
+    plain = F.regexp_replace(plain, r"^\s+|\s+$", "")
+    parts = F.split(F.regexp_replace(plain, HEADING, f"{BEGIN}$2{FIELD}$3{FIELD}$4{BODY}"), BEGIN)
+
+    def part(x: Column) -> Column:
+        numbers, text = F.split(F.split(x, BODY)[0], FIELD), F.regexp_replace(F.split(x, BODY)[1], r"^\s+|\s+$", "")
+        level = F.when(numbers[2] != "", 2).when(numbers[0] != "", F.least(F.lit(3), F.size(F.split(numbers[0], r"\.")))).otherwise(1)
+        return F.struct(F.array_join(numbers, "").alias("number"), level.alias("level"), text.alias("text"))
+
+    single = F.array(F.struct(F.lit(None).cast("string").alias("number"), F.lit(1).alias("level"), plain.alias("text")))
+    numbered = F.filter(F.transform(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), part), lambda x: x["text"] != "")
+    return F.when(plain == "", F.slice(single, 1, 0)).when((F.size(parts) > 1) & (parts[0] == ""), numbered).otherwise(single)
+
+
+def restored_heading(source: Column, target: Column) -> Column:
+    """A translated heading with the source's decimal number in front, where the number stands elsewhere in it (the first
+    place goes); as it is where it leads already, is missing, or the source has none."""
+    number = F.regexp_extract(F.coalesce(source, F.lit("")), HEADING_NUMBER, 1)
+    quoted = F.replace(number, F.lit("."), F.lit("[.]"))
+    bare = F.regexp_replace(target, r"^\s+|\s+$", "")
+    leads = F.rlike(bare, F.concat(F.lit("^"), quoted, F.lit(r"(?:\s|[：:、.．])")))
+    place = F.concat(F.lit(r"(?s)^(.*?)(?<![\d.])"), quoted, F.lit(r"(?![\d.])"))
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, place, F.lit("$1")), r"\s{2,}", " "), r"^\s+|\s+$", "")
+    return F.when((number == "") | leads | ~F.rlike(bare, place), target).otherwise(F.trim(F.concat(number, F.lit(" "), rest)))

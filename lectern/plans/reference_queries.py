@@ -79,3 +79,23 @@ def k11(t: Tables):
         F.when(~figure, F.col("line")).alias("text"), F.when(figure, F.concat(F.lit(" Figure "), F.col("pos").cast("string"), F.lit(": x "))).alias("caption"),
     )
     return sections.anchors(rows).select("doc", "label", "kind", "block")
+
+
+HEADINGS = "CASE pos % 4 WHEN 0 THEN n || ' Background  ' || n || '.1 Motivation and ' || lang WHEN 1 THEN 'IV. Results' || {nl} || 'B. Detail' WHEN 2 THEN 'Plain 3 words' ELSE '1.2.3 Deep' END"
+
+
+@query("t27_heading_parts", f"""WITH l AS (SELECT doc_id, pos, pos % 90 + 1 AS n, lang FROM {LINES})
+    SELECT doc_id, pos, 0 AS nth, CASE pos % 4 WHEN 0 THEN CAST(n AS VARCHAR) WHEN 1 THEN 'IV' WHEN 2 THEN '' ELSE '1.2.3' END AS number, CASE WHEN pos % 4 = 3 THEN 3 ELSE 1 END AS level, CASE pos % 4 WHEN 0 THEN 'Background' WHEN 1 THEN 'Results' WHEN 2 THEN 'Plain 3 words' ELSE 'Deep' END AS text FROM l
+    UNION ALL SELECT doc_id, pos, 1, CASE pos % 4 WHEN 0 THEN n || '.1' ELSE 'B' END, 2, CASE pos % 4 WHEN 0 THEN 'Motivation and ' || lang ELSE 'Detail' END FROM l WHERE pos % 4 < 2""")
+def t27(t: Tables):
+    """Headings of four kinds by a line's place."""
+    rows = DERIVED["lines"][0](t).selectExpr("doc_id", "bigint(pos) AS pos", "lang", "pos % 90 + 1 AS n").selectExpr("doc_id", "pos", HEADINGS.format(nl="'\\n'") + " AS source")
+    parts = rows.select("doc_id", "pos", F.posexplode(R.heading_parts(F.col("source"))).alias("nth", "part"))
+    return parts.select("doc_id", "pos", F.col("nth").cast("int").alias("nth"), F.coalesce("part.number", F.lit("")).alias("number"), F.col("part.level").cast("int").alias("level"), "part.text")
+
+
+@query("t18_restored_heading", f"SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN n || ' Titel hier 1' || n WHEN 1 THEN n || '. Titel' ELSE 'Titel' END AS heading FROM (SELECT doc_id, pos, (pos % 9 + 1) || '.' || (pos % 7 + 1) AS n FROM {LINES})")
+def t18(t: Tables):
+    rows = DERIVED["lines"][0](t).selectExpr("doc_id", "bigint(pos) AS pos", "(pos % 9 + 1) || '.' || (pos % 7 + 1) AS n")
+    target = F.expr("CASE pos % 3 WHEN 0 THEN 'Titel ' || n || ' hier 1' || n WHEN 1 THEN n || '. Titel' ELSE 'Titel' END")
+    return rows.select("doc_id", "pos", R.restored_heading(F.concat("n", F.lit(" Title")), target).alias("heading"))

@@ -100,3 +100,18 @@ def test_anchors_are_labelled_blocks(spark):
     rows = [(1, "a", "section", "1.2 Methods ", None, 0), (1, "b", "figure", "", "Fig. 3 x", 1), (1, "c", "table", None, "Table 2", 2), (1, "d", "section", "Plain words", None, 3), (1, "e", None, None, None, 4), (1, "f", "paragraph", "图 4", "Table 9", 5)]
     got = sections.anchors(spark.createDataFrame(rows, "doc int, block string, kind string, text string, caption string, ord int"))
     assert sorted((r.block, r.label, r.kind, r.text) for r in got.collect()) == [("a", "sec1.2", "section", "1.2 Methods"), ("b", "fig3", "caption", "Fig. 3 x"), ("c", "tab2", "caption", "Table 2"), ("f", "fig4", "caption", "图 4")]
+
+
+def test_headings_are_parsed(spark):
+    cases = {
+        "2 Background 2.1 Motivation": [("2", 1, "Background"), ("2.1", 2, "Motivation")], "V. Related Work": [("V", 1, "Related Work")], "C. Setup": [("C", 2, "Setup")], "1.2.3\t Deep\r": [("1.2.3", 3, "Deep")],
+        "IX Results\nA. One": [("IX", 1, "Results"), ("A", 2, "One")], "No number 2 Later": [(None, 1, "No number 2 Later")], "3 4": [(None, 1, "3 4")], " ": [], "C Setup": [(None, 1, "C Setup")],
+    }
+    assert {x: [tuple(p) for p in one(spark, R.heading_parts(F.lit(x)))] for x in cases} == cases
+    assert one(spark, R.heading_parts(F.lit(None).cast("string"))) == []
+
+
+def test_headings_get_their_number_back(spark):
+    cases = {("2.1 A", "x 2.1  y"): "2.1 x y", ("2.1 A", "2.1 x"): "2.1 x", ("2 A", "2：x"): "2：x", ("2 A", "x"): "x", ("A", "x 2"): "x 2", ("2 A", "12 2.1 x 2 and 2"): "2 12 2.1 x and 2", ("1.2 A", "1x2 b"): "1x2 b"}
+    assert {k: one(spark, R.restored_heading(F.lit(k[0]), F.lit(k[1]))) for k in cases} == cases
+    assert one(spark, R.restored_heading(F.lit("1 A"), F.lit(None).cast("string"))) is None

@@ -32,7 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, Jaccard of 0.8 or more), one document stays: that with the
+    """Of each component of near copies (met by SimHash blocks; five-word shingles, Jaccard of 0.8 or more), one stays: that with the
     smallest id (null is larger than any), of several rows with this id the one whose text has the smallest 64-bit hash,
     of rows with the same id and text the one with the smallest language, source and length, nulls first. Texts without a
     word are copies of each other; an empty table stays empty."""

@@ -1,13 +1,16 @@
-"""Near copies by shingles: the pipeline's SimHash stage at a similarity that majority bits can't reach.
-
-Documents whose sets of five-word shingles have a Jaccard of 0.8 differ in some 10 of 64 majority bits, so no split of
-64 bits into blocks finds them. The fingerprint here is wider: ``BANDS`` blocks, each a hash of ``WIDTH`` minwise values
-of the set. As in ``simhash``, close pairs share a block, pairs meet on blocks and are verified, here by the exact
-Jaccard of their sets (of 32-bit hashes). A pair at 0.8 shares a block with a probability of 0.997, at 0.82 of 0.9995, at
-0.85 of 0.99996; what meets is judged exactly.
-
-Equal sets collapse to one before anything meets. Within a block's group no pairs are emitted: each member meets one
-centre (a row a member), which links most of a group of near copies; only members of groups that still hold different
+"""SimHash of near copies: majority bits of five-word shingles, wide enough for a Jaccard of 0.8.
+
+Sets of shingles with a Jaccard of 0.8 differ in some 15 % of their majority bits, so 64 bits and a split into blocks of
+which all but a few agree don't find them. The fingerprint here has ``BLOCKS`` blocks of ``BITS`` bits and ``CHECK`` more.
+As in ``simhash``, close pairs share a block, pairs meet on blocks and their Hamming distance is verified: that of the
+``CHECK`` bits, which no block holds, is at most ``DISTANCE``. What passes is judged by the exact Jaccard of the sets (of
+32-bit hashes). A pair at 0.8 shares a block with a probability of 0.9995, at 0.82 of 0.9999, and differs there in 19 bits
+on average, 40 being five deviations up.
+
+Equal sets collapse to one before anything meets. Rows of a block are compared inside a task, which gives out no pairs but
+the groups that hold together by close fingerprints (``_near``): the work grows with the square of the sets over 2^BITS,
+some 2 ns a comparison, so tables of over some 100 million sets want more bits and blocks. Of a group, each member meets
+one centre (a row a member), which links most of a group of near copies; only members of groups that still hold different
 components are then compared in blocks of at most ``group`` rows, inside a task, which gives out a spanning forest.
 """
 
@@ -29,8 +32,15 @@ from .workers import tidy
 
 SLICE_BYTES = 1 << 20
 SLACK = 1e-6
-WIDTH, BANDS = 8, 32
-MULTIPLIERS = mix(np.arange(WIDTH * BANDS, dtype=np.uint64), 17).astype(np.uint32) | np.uint32(1)
+BITS, BLOCKS = 14, 72
+CHECK, DISTANCE = 128, 40
+#: Sets of four and five shingles that differ in one agree on 81 % of the bits only: sets up to this size have as many
+#: blocks again, of the same bits dealt in another way.
+SMALL = 5
+#: One 64-bit hash of a shingle for each 64 bits of the fingerprint: products with these, mixed.
+ODD = mix(np.arange(-(-(CHECK + BITS * BLOCKS) // 64), dtype=np.uint64), 17) | np.uint64(1)
+#: Runs of more rows than this are compared row by row with all others, shorter ones together with the runs around.
+RUN = 32
 #: Bits of the filter by which texts of candidates are read again; what passes it wrongly goes in a join.
 FILTER_BITS = 1 << 25
 
@@ -68,17 +78,27 @@ def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(owner[new], minlength=n), h[new]
 
 
-def _bands(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The block hashes (int64, sets x BANDS) of sets of ``n`` hashes in a row."""
-    low = (h.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-    least = np.full((len(n), WIDTH * BANDS), np.iinfo(np.uint32).max, np.uint32)
+def _majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The fingerprints (flags, sets x bits) of sets of ``n`` hashes in a row: a bit is set where over half of them have it."""
+    out = np.empty((len(n), 64 * len(ODD)), bool)
     for row, (end, size) in enumerate(zip(np.cumsum(n).tolist(), n.tolist(), strict=True)):
-        for lo in range(end - size, end, 1024):
-            np.minimum(least[row], (low[lo : min(lo + 1024, end), None] * MULTIPLIERS).min(0), out=least[row])
-    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(n), BANDS)).copy()
-    for k in range(WIDTH):
-        out = mix(out ^ least[:, k::WIDTH].astype(np.uint64), k)
-    return out.view(np.int64)
+        ones = np.zeros(out.shape[1], np.int64)
+        for lo in range(end - size, end, 255):  # as many as a byte counts
+            x = h[lo : min(lo + 255, end), None].view(np.uint64) * ODD
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(29)
+            ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+        out[row] = 2 * ones > size
+    return out
+
+
+def _split(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints' blocks (int32, sets x 2 BLOCKS, the block's number above its bits; the second half is for small sets)
+    and check bits (int64, sets x 2)."""
+    bits, powers = flags[:, CHECK : CHECK + BITS * BLOCKS], 1 << np.arange(BITS, dtype=np.int32)
+    blocks = np.concatenate([bits.reshape(-1, BLOCKS, BITS) @ powers, powers @ bits.reshape(-1, BITS, BLOCKS)], axis=1)
+    return (blocks + (np.arange(2 * BLOCKS) << BITS)).astype(np.int32), np.packbits(flags[:, :CHECK], axis=1).view(np.int64)
 
 
 def _slices(text: pa.Array) -> Iterator[tuple[slice, pa.Array]]:
@@ -93,19 +113,99 @@ def _sig(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, sig, n, bands): a hash of the set of ``words``-word shingles, its size and its block hashes (none of an empty
-    set). Words are those of ``simhash.fingerprints``; fewer than ``words`` are one shingle, none an empty set."""
+    """(id, sig, n, blocks, c0, c1): a hash of the set of ``words``-word shingles, its size, its fingerprint's blocks (none
+    of an empty set) and check bits. Words are those of ``simhash.fingerprints``; fewer than ``words`` are one shingle, none
+    an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, text in _slices(b.column(text_col)):
                 n, h = _sets(text, words)
-                some = n > 0
-                offsets = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
-                bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(_bands(h, n[some]).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(id_col).slice(at.start, at.stop - at.start), pa.array(_sig(h, n)), pa.array(n.astype(np.int32)), bands], names=[id_col, "sig", "n", "bands"])
-
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sig long, n int, bands array<long>")
+                blocks, check = _split(_majority(h, n))
+                has = (n > 0)[:, None] & ((n <= SMALL)[:, None] | (np.arange(2 * BLOCKS) < BLOCKS))
+                offsets = np.concatenate(([0], np.cumsum(has.sum(1)))).astype(np.int32)
+                blocks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(blocks[has]))
+                ids = b.column(id_col).slice(at.start, at.stop - at.start)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(_sig(h, n)), pa.array(n.astype(np.int32)), blocks, pa.array(check[:, 0].copy()), pa.array(check[:, 1].copy())], names=[id_col, "sig", "n", "blocks", "c0", "c1"])
+
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sig long, n int, blocks array<int>, c0 long, c1 long")
+
+
+def _together(check: np.ndarray) -> np.ndarray:
+    """Of a run's check bits (uint64, rows x 2), the smallest row that each one holds together with."""
+
+    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(check[x, None, 0] ^ check[None, y, 0]) + np.bitwise_count(check[x, None, 1] ^ check[None, y, 1]) <= DISTANCE
+
+    label, left = np.arange(len(check)), np.arange(len(check))
+    while len(left):
+        some = left[: max(1, min(64, (1 << 20) // len(left)))]
+        alone = close(some, left).sum(1) == 1
+        left = left[~np.isin(left, some[alone])]
+        for first in some[~alone]:
+            if label[first] != first or not (left == first).any():
+                continue
+            left, reached = left[left != first], np.array([first])
+            while len(reached) and len(left):
+                wide = max(1, min(64, (1 << 20) // len(left)))
+                near = close(reached[:wide], left).any(0)
+                label[left[near]] = first
+                reached, left = np.concatenate([reached[wide:], left[near]]), left[~near]
+    return label
+
+
+def _labels(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Of whole runs of equal keys, the smallest row that each one holds together with."""
+    first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+    size = np.diff(np.append(first, len(key)))
+    label, end = np.arange(len(key)), np.repeat(first + size, size)
+    for lo, m in zip(first[size > RUN].tolist(), size[size > RUN].tolist()):
+        label[lo : lo + m] = lo + _together(check[lo : lo + m])
+    at, pairs = np.flatnonzero(np.repeat(size <= RUN, size)), []
+    for step in range(1, RUN):
+        at = at[at + step < end[at]]
+        if not len(at):
+            break
+        apart = np.bitwise_count(check[at] ^ check[at + step]).sum(1)
+        near = at[apart <= DISTANCE]
+        pairs.append(np.stack([near, near + step]))
+    x, y = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    while len(x):
+        lower = np.minimum(label[x], label[y])
+        if (lower == np.maximum(label[x], label[y])).all():
+            break
+        np.minimum.at(label, x, lower)
+        np.minimum.at(label, y, lower)
+    return label
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, sig, n): rows in order of their block, to groups of two or more that hold together by fingerprints at most
+    ``DISTANCE`` bits apart; key is a hash of the group's members."""
+
+    def groups(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        t = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        label = _labels(t["key"], np.stack([t["c0"], t["c1"]], axis=1).view(np.uint64))
+        more = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+        more = more[np.argsort(label[more], kind="stable")]
+        label, sig = label[more], t["sig"][more]
+        new = np.flatnonzero(np.diff(label, prepend=-1))
+        name = np.add.reduceat(mix(sig.view(np.uint64), 1), new) if len(new) else np.zeros(0, np.uint64)
+        name = np.repeat(name, np.diff(np.append(new, len(label)))).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(sig), pa.array(t["n"][more])], names=["key", "sig", "n"])
+
+    held: list[dict[str, np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = {c: b.column(c).to_numpy() for c in ("key", "sig", "n", "c0", "c1")}
+        last = np.searchsorted(t["key"], t["key"][-1])  # the last run may go on in the next batch
+        if last or (held and held[0]["key"][0] != t["key"][0]):
+            yield groups([*held, {c: v[:last] for c, v in t.items()}])
+            held = []
+        held.append({c: v[last:] for c, v in t.items()})
+    if held:
+        yield groups(held)
 
 
 def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -216,12 +316,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other). Texts without a word are copies of each other; repeated rows stay; an empty table gives no row; other columns
     aren't read, whatever their names. ``group`` bounds the rows that a task compares, not what is compared."""
     marks = durable(signatures(docs, id_col, text_col, words), "near-marks")
-    distinct = durable(marks.groupBy("sig").agg(F.min(id_col).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-distinct")
+    distinct = durable(marks.groupBy("sig").agg(F.min(id_col).alias("first"), *[F.first(c).alias(c) for c in ("n", "blocks", "c0", "c1")]), "near-distinct")
     first = distinct.select("sig", "first")
-    keyed = distinct.select("sig", "n", F.explode("bands").alias("key"))
-    sizes = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "near-keys")
-    met = durable(keyed.join(sizes.hint("merge"), "key"), "near-met")
-    discard(sizes)
+    # different sets of so few shingles can't be close enough
+    large = distinct.where(F.col("n") * (1 - least) >= least - SLACK)
+    keyed = large.select(F.explode("blocks").alias("key"), "sig", "n", "c0", "c1").repartition("key").sortWithinPartitions("key")
+    met = durable(keyed.mapInArrow(tidy(_near), "key long, sig long, n int").distinct(), "near-met")
     wanted = durable(met.select("sig").distinct(), "near-wanted")
     again = _read_again(docs, first.join(wanted.hint("merge"), "sig").select(F.col("first").alias("id")), id_col, text_col)
     sets = durable(shingle_sets(again, text_col, words).join(wanted.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.first("keys").alias("keys")), "near-sets")

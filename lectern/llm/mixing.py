@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +91,9 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Sequence[Mapping
     budgets = leaf_budgets(leaves, target, weights, default, max_epochs)
     plan = [(*path, (b := budgets[path]) // n if n else max_epochs, b % n if n else 0) for path, n in leaves]
     spark = docs.sparkSession
-    plan_df = spark.createDataFrame(plan, ", ".join(f"`{c}` string" for c in path_cols) + ", __mix_full int, __mix_rest long")
+    # as an Arrow table: rows of a list would take Python workers of their own, which live on beside the others
+    kinds = {c: pa.string() for c in path_cols} | {"__mix_full": pa.int32(), "__mix_rest": pa.int64()}
+    plan_df = spark.createDataFrame(pa.table({c: pa.array([row[k] for row in plan], kind) for k, (c, kind) in enumerate(kinds.items())}))
     hint = F.broadcast if len(plan) <= BROADCAST_LEAVES else (lambda x: x)  # a leaf is under 1 kB, so under 20 MB
 
     def key(tie: Column) -> Column:

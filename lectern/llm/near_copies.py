@@ -208,12 +208,22 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield groups(held)
 
 
-def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(sig, keys): each text's set as distinct 32-bit hashes."""
+def shingle_sets(docs: DataFrame, text_col: str, words: int, only: tuple[str, np.ndarray] | None = None) -> DataFrame:
+    """(sig, keys): each text's set as distinct 32-bit hashes. ``only``: an id column and a filter by ``_marked``; the
+    texts of its ids are taken, and a few more. One map filters and hashes: two in a row would take two Python workers a
+    task, and those of all later stages live on beside each other."""
+    columns = [F.col(text_col)]
+    if only is not None:
+        columns.append(F.pmod(F.xxhash64(only[0]), F.lit(FILTER_BITS)).alias("__bit"))
+        shared = docs.sparkSession.sparkContext.broadcast(only[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, text in _slices(b.column(text_col)):
+            texts = b.column(0)
+            if only is not None:
+                at = b.column(1).to_numpy()
+                texts = texts.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
+            for _, text in _slices(texts):
                 n, h = _sets(text, words)
                 low, owner = (h.view(np.uint64) >> np.uint64(32)).astype(np.uint32), np.repeat(np.arange(len(n)), n)
                 both = np.unique((owner.astype(np.uint64) << np.uint64(32)) | low)
@@ -221,25 +231,16 @@ def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(both.astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(_sig(h, n)), keys], names=["sig", "keys"])
 
-    return docs.select(text_col).mapInArrow(tidy(run), "sig long, keys array<int>")
+    return docs.select(*columns).mapInArrow(tidy(run), "sig long, keys array<int>")
 
 
-def _read_again(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The documents of ``ids`` (id), and a few more: by a filter of fixed size, so that no text is shuffled."""
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size that all of ``ids`` (id) pass, so that no text is shuffled to find theirs."""
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     words = ids.select(F.shiftright(bit, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) & 31 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 32, np.uint32)
     table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column("__bit").to_numpy()
-            yield b.select([id_col, text_col]).filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
-
-    narrow = docs.select(id_col, text_col, F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).alias("__bit"))
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, text_col)}
-    return narrow.mapInArrow(tidy(run), ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
+    return table
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -323,8 +324,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = large.select(F.explode("blocks").alias("key"), "sig", "n", "c0", "c1").repartition("key").sortWithinPartitions("key")
     met = durable(keyed.mapInArrow(tidy(_near), "key long, sig long, n int").distinct(), "near-met")
     wanted = durable(met.select("sig").distinct(), "near-wanted")
-    again = _read_again(docs, first.join(wanted.hint("merge"), "sig").select(F.col("first").alias("id")), id_col, text_col)
-    sets = durable(shingle_sets(again, text_col, words).join(wanted.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.first("keys").alias("keys")), "near-sets")
+    marked = _marked(first.join(wanted.hint("merge"), "sig").select(F.col("first").alias("id")))
+    sets = durable(shingle_sets(docs, text_col, words, only=(id_col, marked)).join(wanted.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.first("keys").alias("keys")), "near-sets")
     discard(wanted)
 
     live, groups = met.withColumn("root", F.col("sig")), None

@@ -10,8 +10,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -53,6 +55,58 @@ def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Ca
     return dealt.mapInPandas(run, f"{kinds}, {schema}")
 
 
+def per_lists(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], work: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """As :func:`per_group` for many small groups: ``work`` gets the values of ``columns``, a list each, and only these
+    reach Python; missing floating-point numbers are NaN. Groups are cut out of lists, a batch's columns made once."""
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    keys, columns = list(keys), list(columns)
+    fields = df.sparkSession.createDataFrame([], schema).schema
+    names, types = [*keys, *fields.names], [f.type for f in to_arrow_schema(fields)]
+
+    def values(c: pa.Array) -> list:
+        return (pc.fill_null(c, float("nan")) if pa.types.is_floating(c.type) else c).to_pylist()
+
+    def made(table: pa.Table, starts: list[int], ends: list[int]) -> pa.RecordBatch:
+        lists, at, rows = [values(table.column(c)) for c in columns], [], []
+        for a, b in zip(starts, ends, strict=True):
+            some = work(*[x[a:b] for x in lists])
+            at += [a] * len(some)
+            rows += some
+        cells = list(zip(*rows, strict=True)) or [[] for _ in types]
+        heads = [table.column(k).combine_chunks().take(pa.array(at, pa.int64())) for k in keys]
+        return pa.RecordBatch.from_arrays([*heads, *(pa.array(list(c), t) for c, t in zip(cells, types, strict=True))], names=names)
+
+    def changes(b: pa.RecordBatch) -> list[int]:
+        """Places of rows whose keys aren't those of the row before."""
+        out = np.zeros(len(b) - 1, bool)
+        for k in keys:
+            x, y = b.column(k).slice(1), b.column(k).slice(0, len(b) - 1)
+            out |= pc.fill_null(pc.not_equal(x, y), pc.xor(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)
+        return (out.nonzero()[0] + 1).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last group, which may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            first = [0] if held and changes(pa.Table.from_batches([held[-1].slice(len(held[-1]) - 1), batch.slice(0, 1)]).select(keys).combine_chunks().to_batches()[0]) else []
+            starts = [*first, *changes(batch)]
+            if not starts:
+                held.append(batch)
+                continue
+            table = pa.Table.from_batches([*held, batch.slice(0, starts[-1])])
+            before = sum(map(len, held))
+            places = [x + before for x in starts]
+            places = [0, *places] if places[0] else places
+            yield made(table, places[:-1], places[1:])
+            held = [batch.slice(starts[-1])]
+        if held:
+            yield made(pa.Table.from_batches(held), [0], [sum(map(len, held))])
+
+    dealt = df.select(*dict.fromkeys([*keys, *order, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.select(*dict.fromkeys([*keys, *columns])).mapInArrow(run, f"{kinds}, {schema}")
+
+
 def per_row(df: DataFrame, keep: Sequence[str], work: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """Rows that ``work`` makes of the other columns' values of each row, ``keep`` coming first: a map, no row is moved and
     repeated or null keys change nothing."""
@@ -341,14 +395,18 @@ def dedup_boxes(boxes: list[tuple[Box, bool]], contained: float = 0.8) -> list[i
     """Places of the (box, captioned) that stay: of two, one of which holds ``contained`` of the other, the captioned
     and then the larger one."""
     kept: list[int] = []
-    for i, (box, captioned) in enumerate(boxes):
-        clash = next((k for k, j in enumerate(kept) if area(box, boxes[j][0]) >= contained * max(TINY, min(box[2] * box[3], boxes[j][0][2] * boxes[j][0][3]))), None)
-        if clash is None:
+    held: list[tuple] = []  # of those kept: left, top, right, bottom, size, captioned
+    for i, ((x, y, w, h), captioned) in enumerate(boxes):
+        right, bottom, size = x + w, y + h, w * h
+        for k, (left, top, end, low, other, had) in enumerate(held):
+            both = max(0.0, min(right, end) - max(x, left)) * max(0.0, min(bottom, low) - max(y, top))
+            if both >= contained * max(TINY, min(size, other)):
+                if (captioned, size) > (had, other):
+                    kept[k], held[k] = i, (x, y, right, bottom, size, captioned)
+                break
+        else:
             kept.append(i)
-            continue
-        other, had = boxes[kept[clash]]
-        if (captioned, box[2] * box[3]) > (had, other[2] * other[3]):
-            kept[clash] = i
+            held.append((x, y, right, bottom, size, captioned))
     return kept
 
 

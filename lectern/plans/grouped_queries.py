@@ -157,30 +157,33 @@ def boxes(t: Tables):
     return t.lineitem.selectExpr("l_orderkey AS page", "l_linenumber * 1000000000L + l_partkey * 1000 + l_suppkey AS id", "double(l_partkey % 600) AS x", "double(l_suppkey * 7 % 800) AS y", "l_quantity * 4 AS w", "l_linenumber * 40.0D AS h", "l_returnflag = 'A' AS captioned", "l_returnflag AS kind")
 
 
-def _boxes(pdf):
-    return list(zip(pdf.x, pdf.y, pdf.w, pdf.h, strict=True))
+BOX = ["x", "y", "w", "h"]
+
+
+def rows_of_words(x, y, h, kind):
+    return list(enumerate(G.text_rows(list(zip(x, y, h, kind, strict=True)))))
 
 
 @query("g03_merge_boxes")
 def g03(t: Tables):
-    return G.per_group(boxes(t), ["page"], ["id"], lambda pdf: G.merge_boxes(_boxes(pdf)), "x double, y double, w double, h double")
+    return G.per_lists(boxes(t), ["page"], ["id"], BOX, lambda *box: G.merge_boxes(list(zip(*box, strict=True))), "x double, y double, w double, h double")
 
 
 @query("g11_dedup_regions")
 def g11(t: Tables):
-    return G.per_group(boxes(t), ["page"], ["id"], lambda pdf: [(int(pdf.id.iloc[k]),) for k in G.dedup_boxes(list(zip(_boxes(pdf), pdf.captioned, strict=True)))], "id long")
+    return G.per_lists(boxes(t), ["page"], ["id"], ["id", "captioned", *BOX], lambda ids, captioned, *box: [(ids[k],) for k in G.dedup_boxes(list(zip(zip(*box, strict=True), captioned, strict=True)))], "id long")
 
 
 @query("w12_text_rows")
 def w12(t: Tables):
-    return G.per_group(boxes(t), ["page"], ["id"], lambda pdf: list(enumerate(G.text_rows(list(zip(pdf.x, pdf.y, pdf.h, pdf.kind, strict=True))))), "row long, body string")
+    return G.per_lists(boxes(t), ["page"], ["id"], ["x", "y", "h", "kind"], rows_of_words, "row long, body string")
 
 
 @query("w14_bibliography_rows")
 def w14(t: Tables):
     """Rows of each column of a page."""
     cols = boxes(t).withColumn("col", F.when(F.col("x") >= 290, 1).otherwise(0))
-    return G.per_group(cols, ["page", "col"], ["id"], lambda pdf: list(enumerate(G.text_rows(list(zip(pdf.x, pdf.y, pdf.h, pdf.kind, strict=True))))), "row long, body string")
+    return G.per_lists(cols, ["page", "col"], ["id"], ["x", "y", "h", "kind"], rows_of_words, "row long, body string")
 
 
 JOB = ("click", "START", "view", "PARSED", "purchase", "INDEXED", "error", "FAIL", "login", "RESUME", "logout", "PAUSE", "signup", "RETRY")

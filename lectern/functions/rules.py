@@ -60,11 +60,28 @@ def _plain(c: Column) -> Column:
 def valid_spans(left: Column, right: Column, spans: Column) -> Column:
     """Of ``spans`` (structs of left and right) those whose sides are both found in their text, in lower case and with
     single blanks; the first of equal ones, in the order of their left sides (by code points). Empty sides are none."""
-    plain = F.transform(F.coalesce(spans, F.array().cast("array<struct<left:string,right:string>>")), lambda s: F.struct(_plain(s["left"]).alias("a"), _plain(s["right"]).alias("b"), s["left"].alias("left"), s["right"].alias("right")))
-    found = F.filter(plain, lambda s: (s["a"] != "") & (s["b"] != "") & F.contains(_plain(left), s["a"]) & F.contains(_plain(right), s["b"]))
-    key = F.transform(found, lambda s: F.concat(s["a"], F.lit("|"), s["b"]))
-    once = F.filter(F.transform(found, lambda s, i: F.struct(s["a"].alias("a"), i.alias("i"), s["left"].alias("left"), s["right"].alias("right"))), lambda x: F.array_position(key, F.element_at(key, x["i"] + 1)) == x["i"] + 1)
-    return F.transform(F.array_sort(once), lambda s: F.struct(s["left"].alias("left"), s["right"].alias("right")))
+    kind = "array<struct<left:string,right:string>>"
+    plain = F.transform(F.coalesce(spans, F.array().cast(kind)), lambda s: F.struct(_plain(s["left"]).alias("a"), _plain(s["right"]).alias("b"), s["left"].alias("left"), s["right"].alias("right")))
+
+    def valid(x: Column) -> Column:
+        found = F.filter(x["spans"], lambda s: (s["a"] != "") & (s["b"] != "") & F.contains(x["left"], s["a"]) & F.contains(x["right"], s["b"]))
+        return F.transform(F.array_sort(_first_of_equal(found)), lambda s: F.struct(s["left"].alias("left"), s["right"].alias("right")))
+
+    # Bound as one element: texts are brought to their plain form once, not again for each span.
+    return F.transform(F.array(F.struct(_plain(left).alias("left"), _plain(right).alias("right"), plain.alias("spans"))), valid)[0]
+
+
+def _first_of_equal(found: Column) -> Column:
+    """Structs (a, i, left, right) of the first of those that have the same sides, with their places."""
+
+    def first(x: Column) -> Column:
+        keyed = F.transform(x["found"], lambda s, i: F.struct(s["a"].alias("a"), i.alias("i"), s["left"].alias("left"), s["right"].alias("right")))
+        return F.filter(keyed, lambda s: F.array_position(x["key"], F.element_at(x["key"], s["i"] + 1)) == s["i"] + 1)
+
+    def keys(x: Column) -> Column:
+        return F.struct(x.alias("found"), F.transform(x, lambda s: F.concat(s["a"], F.lit("|"), s["b"])).alias("key"))
+
+    return F.transform(F.transform(F.array(found), keys), first)[0]
 
 
 def continue_entry(entry: Column, line: Column) -> Column:

@@ -211,9 +211,47 @@ def approximate_range(words: list[str], needle: list[str], start: int = 0) -> tu
     n = len(needle)
     if n < 4 or 2 * (len(words) - start) < n:
         return None
+    most = next((k for k in range(n, -1, -1) if 1 - k / n >= 0.82), 0)  # edits that count
+    best = None
+    for a, b in _windows(words, needle, start, most):
+        best = _closest(words, needle, a, b, best or (most + 1, 0, 0))
+        if not best[0]:
+            break
+    return (best[1], best[2], min(0.95, 1 - best[0] / n)) if best and best[0] <= most else None
+
+
+def _windows(words: list[str], needle: list[str], start: int, most: int) -> list[tuple[int, int]]:
+    """Where the needle may be with at most ``most`` edits: of its most + 1 pieces one is there as it is, and all that
+    such a match may span lies around. Windows are in order and don't overlap."""
+    n, found = len(needle), []
+    cuts = [k * n // (most + 1) for k in range(most + 2)]
+    for a, b in zip(cuts, cuts[1:]):
+        piece = needle[a:b]
+        rare = min(range(b - a), key=lambda k: words.count(piece[k]))
+        at = start + rare - 1
+        while True:
+            try:
+                at = words.index(piece[rare], at + 1)
+            except ValueError:
+                break
+            first = at - rare
+            if words[first : first + b - a] == piece:
+                found.append((max(start, first - a - 2 * most), min(len(words), first - a + n + 2 * most)))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _closest(words: list[str], needle: list[str], start: int, end: int, best: tuple[int, int, int]) -> tuple[int, int, int]:
+    """(edits, first, end) of the words from ``start`` to ``end`` that are closest to the needle, the first of equals, or
+    ``best`` where none has fewer edits."""
+    n = len(needle)
     row = [(i, start) for i in range(n + 1)]
-    best = (n, start, start)
-    for at in range(start, len(words)):
+    for at in range(start, end):
         diagonal, row[0] = row[0], (0, at + 1)
         for i in range(1, n + 1):
             cost = diagonal[0] + (needle[i - 1] != words[at])
@@ -221,8 +259,7 @@ def approximate_range(words: list[str], needle: list[str], start: int = 0) -> tu
             diagonal, row[i] = row[i], found
         if row[n][0] < best[0]:
             best = row[n][0], row[n][1], at + 1
-    confidence = 1 - best[0] / n
-    return (best[1], best[2], min(0.95, confidence)) if confidence >= 0.82 else None
+    return best
 
 
 def cursor_matches(text: str, needles: list[str]) -> list[tuple[int, int, bool]]:

@@ -90,11 +90,15 @@ def t11(t: Tables):
 @query("t12_sentence_candidates")
 def t12(t: Tables):
     """Sentences with ids, or the paragraph where they don't make up the text again."""
-    some = T.sentences(F.col("text"))
     bare = F.regexp_replace("text", r"\s+", "")
-    whole = F.regexp_replace(F.array_join(some, ""), r"\s+", "") == bare
     odd = F.col("text").rlike("[_=]") & F.col("text").rlike("[:;]")
-    rows = t.documents.select("doc_id", F.when(whole & ~odd, some).otherwise(F.array(F.trim("text"))).alias("s"))
+
+    def choice(some):
+        whole = F.regexp_replace(F.array_join(some, ""), r"\s+", "") == bare
+        return F.when(whole & ~odd, some).otherwise(F.array(F.trim("text")))
+
+    once = F.transform(F.array(T.sentences(F.col("text"))), choice)[0]  # bound as one element: sentences are cut once
+    rows = t.documents.select("doc_id", once.alias("s"))
     return rows.select("doc_id", F.posexplode("s").alias("i", "sentence")).select("doc_id", F.concat("doc_id", F.lit("-s-"), F.col("i") + 1).alias("sentence_id"), "sentence")
 
 

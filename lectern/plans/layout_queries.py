@@ -3,7 +3,23 @@ line items for rectangles on pages, turns of conversations for pairs of blocks."
 
 from __future__ import annotations
 
-from .registry import same
+from pyspark.sql import functions as F
+
+from ..session import pieces, spread
+from .registry import DERIVED, Tables, same
+
+
+def pages(t: Tables) -> dict:
+    """Rectangles dealt by page, to more tasks the more there are."""
+    return {"rects": spread(DERIVED["rects"][0](t), "page", number=pieces(t.lineitem))}
+
+
+def keyed(t: Tables) -> dict:
+    """Orders and lines dealt by order alike; a text's SHA-256 stands for it, so that no task holds texts."""
+    lines, orders = t.lineitem.select("l_orderkey"), t.orders.select("o_orderkey", "o_custkey")
+    number = max(pieces(t.lineitem), pieces(t.orders))
+    return {"lineitem": spread(lines, "l_orderkey", number=number), "orders": spread(orders, "o_orderkey", number=number), "documents": t.documents.select("doc_id", F.sha2("text", 256).alias("text"))}
+
 
 # -- windows and sequences ----------------------------------------------------------------------------------------
 
@@ -21,13 +37,13 @@ same("w18_prior_context", "SELECT doc_id, pos, right(lag(line) OVER (PARTITION B
 same("w20_flow_positions", """SELECT doc_id, pos, 16 + coalesce(CAST(sum(height + 12) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS y, height FROM (
     SELECT doc_id, pos, greatest(64, greatest(1, CAST(ceil(length(trim(line)) / 72.0) AS BIGINT)) * 24 + 32) AS height FROM {lines}) q""")
 same("w21_positions", "SELECT page, id, page * 842 + y AS top, page * 842 + y + h AS bottom, row_number() OVER (PARTITION BY page ORDER BY y, id) AS place FROM {rects}")
-same("w22_thin_row_clusters", "SELECT page, grp, count(*) AS n FROM (SELECT *, id - row_number() OVER (PARTITION BY page, kind ORDER BY id) AS grp FROM {rects}) q GROUP BY page, kind, grp HAVING count(*) >= 3")
+same("w22_thin_row_clusters", "SELECT page, grp, count(*) AS n FROM (SELECT *, id - row_number() OVER (PARTITION BY page, kind ORDER BY id) AS grp FROM {rects}) q GROUP BY page, kind, grp HAVING count(*) >= 3", pages)
 same("w24_last_eight", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM {events}) q WHERE r <= 8")
 same("w25_order_valid", "SELECT l_orderkey, max(l_linenumber) - min(l_linenumber) + 1 = count(*) AND count(DISTINCT l_linenumber) = count(*) AS contiguous FROM {lineitem} GROUP BY l_orderkey")
 same("w26_continuous_mapping", "SELECT conv_id, min(CASE WHEN turn = coalesce(prev, turn - 1) + 1 THEN 1 ELSE 0 END) = 1 AS continuous FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM {conversations}) q GROUP BY conv_id")
 same("w17_first_occurrence", "SELECT line AS term, doc_id, pos FROM (SELECT line, doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS r, count(*) OVER (PARTITION BY line) AS n FROM {lines}) q WHERE r = 1 AND n > 1")
 same("w16_paragraph_merge", "SELECT doc_id, para, count(*) AS lines, sum(length(line)) AS chars FROM (SELECT *, CAST(sum(CASE WHEN prev IS NULL OR right(trim(prev), 1) IN ('.', '!', '?', ':') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS para FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM {lines}) a) b GROUP BY doc_id, para".replace("sum(length(line))", "CAST(sum(length(line)) AS BIGINT)"))
-same("j28_paragraph_flow", "SELECT page, flow, count(*) AS n FROM (SELECT *, CAST(sum(CASE WHEN prev IS NOT NULL AND y - prev BETWEEN 0 AND 120 THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS flow FROM (SELECT *, lag(y) OVER (PARTITION BY page ORDER BY id) AS prev FROM {rects}) a) b GROUP BY page, flow")
+same("j28_paragraph_flow", "SELECT page, flow, count(*) AS n FROM (SELECT *, CAST(sum(CASE WHEN prev IS NOT NULL AND y - prev BETWEEN 0 AND 120 THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS flow FROM (SELECT *, lag(y) OVER (PARTITION BY page ORDER BY id) AS prev FROM {rects}) a) b GROUP BY page, flow", pages)
 same("h07_continuation", "SELECT doc_id, pos, lower(left(line, 1)) = left(line, 1) AND length(line) > 0 AND NOT coalesce(right(trim(lag(line) OVER (PARTITION BY doc_id ORDER BY pos)), 1) IN ('.', '!', '?'), true) AS continues FROM {lines}")
 same("h12_crosses_center", "SELECT page, id, coalesce(x - prev > greatest(10, 0.018 * 600) AND prev <= 300 AND x >= 300, false) AS crosses FROM (SELECT *, lag(x + w) OVER (PARTITION BY page ORDER BY x, id) AS prev FROM {rects}) q")
 same("h19_source_order", "SELECT l_orderkey, sum(CASE WHEN l_linenumber <= prev THEN 1 ELSE 0 END) AS breaks FROM (SELECT l_orderkey, l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS prev FROM {lineitem}) q GROUP BY l_orderkey".replace("sum(CASE", "CAST(sum(CASE").replace("END) AS breaks", "END) AS BIGINT) AS breaks"))
@@ -73,7 +89,7 @@ same("j23_marker_difference", "SELECT coalesce(d.doc_id, l.doc_id) AS marker, CA
 same("j24_integrity", """SELECT 'line-without-order' AS code, CAST(l_orderkey AS BIGINT) AS id FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_orderkey = l.l_orderkey)
     UNION ALL SELECT 'order-without-lines', o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey)
     UNION ALL SELECT 'order-without-customer', o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey = o.o_custkey)
-    UNION ALL SELECT 'duplicate-text', min(doc_id) FROM {documents} GROUP BY text HAVING count(*) > 1""")
+    UNION ALL SELECT 'duplicate-text', min(doc_id) FROM {documents} GROUP BY text HAVING count(*) > 1""", keyed)
 same("j25_asset_hashes", "SELECT coalesce(a.doc_id, b.doc_id) AS id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'unexpected' ELSE 'mismatch' END AS problem FROM {documents} a FULL JOIN (SELECT doc_id + 1 AS doc_id, text FROM {documents}) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.text <> b.text")
 same("j26_cache_lookup", "SELECT d.doc_id, l.doc_id IS NOT NULL AS hit FROM {documents} d LEFT JOIN (SELECT DISTINCT doc_id FROM {labels}) l ON d.doc_id = l.doc_id")
 same("j29_editor_rows", "SELECT u.conv_id, u.turn, coalesce(a.text, '') AS translation FROM (SELECT * FROM {turns} WHERE role = 'user') u LEFT JOIN (SELECT * FROM {turns} WHERE role = 'assistant') a ON u.conv_id = a.conv_id AND u.nth = a.nth")

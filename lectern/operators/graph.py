@@ -40,6 +40,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterati
         return nodes.select("id", F.lit(0.0).alias("rank"))
     base = durable(positive.select("id", (F.col("p") / total if total else F.lit(1.0 / n)).alias("p")), "rank-nodes")
     known = edges.join(base.select(F.col("id").alias("source")), "source", "left_semi").join(base.select(F.col("id").alias("target")), "target", "left_semi")
+    known = durable(known.groupBy("source", "target").agg(F.sum("w").alias("w")), "rank-edges")  # rounds go over pairs, not edges
     out = known.groupBy("source").agg(F.sum("w").alias("out"))
     shares = durable(known.join(out, "source").select("source", "target", (F.col("w") / F.col("out")).alias("share")), "rank-shares")
     has = shares.select(F.col("source").alias("id")).distinct()
